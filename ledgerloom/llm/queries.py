@@ -17,4 +17,32 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup,)}
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each overlap of a document with a benchmark item; clean documents have none."""
+    from .decontaminate import find_overlaps
+
+    out = find_overlaps(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), F.explode("overlaps").alias("o")).select("doc_id", "o.*")
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_by_bytes
+
+    out = shard_by_bytes(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_buckets
+
+    return pack_buckets(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_chats
+
+    out = format_chats(_table(spark, sf_dir, "conversations"))
+    return out.select(F.col("conv").alias("conv_id"), "turn", F.col("row.role").alias("role"), "reply_to", "n_quoted", "branch_depth", "position", "formatted")
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op8_sharding, op9_packing, op10_chat_formatting)}
