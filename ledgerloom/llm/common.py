@@ -112,6 +112,72 @@ def bins_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return (((hashes >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int32)
 
 
+LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * P1)
+BLANK = np.zeros(256, bool)
+BLANK[[0x20, *range(0x09, 0x0E)]] = True
+#: For ``bytes.translate``: A-Z to a-z; and besides, all other ASCII but letters, digits and _ to blanks.
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+LOWER_ALNUM = bytes(c if (c := LOWER[b]) >= 128 or chr(c).isalnum() or c == 95 else 32 for b in range(256))
+SEGMENT = 1 << 18
+
+
+class WordHash:
+    """64-bit hashes of all words of many texts at once: polynomials over each word's bytes, from prefix sums."""
+
+    BASE = np.uint64(0xA0761D6478BD642F)
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) < n:
+            n = max(n, 2 * SEGMENT)
+            inverse = np.uint64(pow(int(self.BASE), -1, 1 << 64))
+            self.up, self.down = (np.cumprod(np.r_[np.uint64(1), np.full(n - 1, b, np.uint64)], dtype=np.uint64) for b in (self.BASE, inverse))
+
+    def _segment(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where words start, and their hashes."""
+        raw = np.frombuffer(data, np.uint8)
+        edge = np.diff(np.r_[True, BLANK[raw], True].view(np.int8))
+        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        self._powers(len(raw) + 1)
+        sums = np.r_[np.uint64(0), np.cumsum(LETTERS[raw] * self.up[: len(raw)], dtype=np.uint64)]
+        return start, mix((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all words in order, and the number of words of each text."""
+        counts, hashes = np.zeros(len(texts), np.int64), []
+        at = 0
+        while at < len(texts):
+            size, to = len(texts[at]), at + 1
+            while to < len(texts) and size + len(texts[to]) < SEGMENT:
+                size += len(texts[to]) + 1
+                to += 1
+            if to == at + 1:  # one text, in as many segments as it needs, cut at blanks
+                for segment in segments(texts[at]):
+                    start, h = self._segment(segment)
+                    counts[at] += len(start)
+                    hashes.append(h)
+            else:
+                start, h = self._segment(b" ".join(texts[at:to]))
+                ends = np.cumsum([len(t) + 1 for t in texts[at:to]])
+                counts[at:to] = np.diff(np.r_[0, np.searchsorted(start, ends)])
+                hashes.append(h)
+            at = to
+        return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), counts
+
+
+def segments(data: bytes) -> Iterator[bytes]:
+    """A text in pieces of about SEGMENT bytes that end at blanks."""
+    at = 0
+    while len(data) - at > 2 * SEGMENT:
+        to = at + SEGMENT
+        near = min((k for b in b" \n\t\r\x0b\x0c" if (k := data.find(bytes([b]), to)) >= 0), default=len(data))
+        yield data[at:near]
+        at = near
+    yield data[at:]
+
+
 class Interned(dict):
     """word -> 64-bit hash; a cache that starts anew when it has grown large."""
 

@@ -5,7 +5,7 @@ Plan. The benchmark, not the corpus, is spread: its size is measured, it is cut
 text, and each slice's seed table goes to the workers for one pass over the documents. One slice is the usual case; a
 larger benchmark means more passes, never a table that outgrows a worker. Documents are neither shuffled nor sorted.
 
-A word is a run of word characters of the lower-cased text. An overlap is the best segment of a diagonal, where a match
+A word is a run of letters, digits, underscores and non-ASCII characters of the lower-cased text. An overlap is the best segment of a diagonal, where a match
 counts 1 and a substitution -3; it is reported if it has ``min_words`` words (or the whole item, if that is shorter) and
 at least four fifths of them match.
 
@@ -15,7 +15,6 @@ selects. Rows that repeat an id are each judged. An empty benchmark: no overlaps
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Interned, mix, total_bytes
+from .common import LOWER_ALNUM, WordHash, mix, total_bytes
 
 MASKS = ("11101011", "110010111", "1011011001", "1101100011")
 SLICE_BYTES = 8 << 20
 MISMATCH = -3
-_WORD = re.compile(r"\w+")
+GROUP = 64
 _ODD = np.cumprod(np.full(64, 0x9E3779B97F4A7C15 | 1, np.uint64), dtype=np.uint64)
 OVERLAP = "array<struct<item_id:long,doc_start:int,doc_end:int,item_start:int,n_words:int,n_matches:int>>"
 
@@ -51,9 +50,9 @@ class SeedTable:
     BITS = 22
 
     def __init__(self, items: list[tuple[int, str]], min_words: int):
-        self.min_words, self.interned = min_words, Interned()
+        self.min_words, self.hash = min_words, WordHash()
         self.ids = np.array([i for i, _ in items], np.int64)
-        self.words = [self.of(t) for _, t in items]
+        self.words = self.of([t for _, t in items])
         keys, item, pos = [], [], []
         for m, mask in enumerate(MASKS):
             for k, w in enumerate(self.words):
@@ -66,25 +65,41 @@ class SeedTable:
         self.seen = np.zeros(1 << self.BITS, bool)
         self.seen[(keys >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
 
-    def of(self, text: str | None) -> np.ndarray:
-        ws = _WORD.findall(text.lower()) if text else []
-        return np.fromiter(map(self.interned.__getitem__, ws), np.uint64, len(ws))
-
-    def overlaps(self, text: str | None) -> list[dict]:
-        w = self.of(text)
-        found: set[tuple[int, int]] = set()
+    def of(self, texts: list[str | None]) -> list[np.ndarray]:
+        hashes, counts = self.hash([t.lower().encode().translate(LOWER_ALNUM) if t else b"" for t in texts])
+        return np.split(hashes, np.cumsum(counts)[:-1])
+
+    def overlaps(self, texts: list[str | None]) -> list[list[dict]]:
+        """Of several texts at once, so that short ones share the array operations."""
+        out: list[list[dict]] = []
+        for a in range(0, len(texts), GROUP):
+            w = self.of(texts[a : a + GROUP])
+            each = [set() for _ in w]
+            ends = np.cumsum([len(x) for x in w])
+            for text, item, diagonal in self.candidates(np.concatenate(w), ends):
+                each[text].add((item, diagonal))
+            out += [[x for pair in sorted(pairs) if (x := self.segment(w[k], *pair))] for k, pairs in enumerate(each)]
+        return out
+
+    def candidates(self, w: np.ndarray, ends: np.ndarray) -> set[tuple[int, int, int]]:
+        """(text, item, diagonal) of every hit that does not reach over the end of its text."""
+        found: set[tuple[int, int, int]] = set()
         for m, mask in enumerate(MASKS):
             h = _hashes(w, mask, m)
             at = np.flatnonzero(self.seen[(h >> np.uint64(64 - self.BITS)).astype(np.int64)])
+            a, b = np.searchsorted(self.keys, h[at], "left"), np.searchsorted(self.keys, h[at], "right")
+            at, a, n = at[b > a], a[b > a], (b - a)[b > a]
             if not len(at):
                 continue
-            a, b = np.searchsorted(self.keys, h[at], "left"), np.searchsorted(self.keys, h[at], "right")
-            n = b - a
-            if n.any():
-                entry = np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                pairs = np.unique(np.stack([self.item[entry].astype(np.int64), np.repeat(at, n) - self.pos[entry].astype(np.int64)]), axis=1)
-                found.update(zip(*pairs.tolist()))
-        return [x for pair in sorted(found) if (x := self.segment(w, *pair))]
+            text = np.searchsorted(ends, at, "right")
+            inside = at + len(mask) <= ends[text]
+            at, a, n, text = at[inside], a[inside], n[inside], text[inside]
+            entry = np.repeat(a - np.r_[0, np.cumsum(n)[:-1]].astype(np.int64)[: len(a)], n) + np.arange(n.sum())
+            start = np.r_[0, ends[:-1]][text]
+            diagonal = np.repeat(at - start, n) - self.pos[entry].astype(np.int64)
+            hits = np.stack([np.repeat(text, n), self.item[entry].astype(np.int64), diagonal])
+            found.update(zip(*np.unique(hits, axis=1).tolist()))
+        return found
 
     def segment(self, w: np.ndarray, item: int, diagonal: int) -> dict | None:
         """The best segment of the alignment of item position j with document position j + diagonal."""
@@ -106,7 +121,7 @@ def _pass(items: list[tuple[int, str]], min_words: int, kind: pa.DataType):
         table = SeedTable(items, min_words)
         for batch in batches:
             before = batch.column("overlaps").to_pylist()
-            new = [(old or []) + table.overlaps(t) for old, t in zip(before, batch.column("text").to_pylist())]
+            new = [(old or []) + found for old, found in zip(before, table.overlaps(batch.column("text").to_pylist()))]
             yield batch.set_column(batch.schema.get_field_index("overlaps"), "overlaps", pa.array(new, kind))
 
     return rows
