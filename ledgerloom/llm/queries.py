@@ -25,6 +25,13 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), F.explode("overlaps").alias("o")).select("doc_id", "o.*")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    out = jaccard_components(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "class_id")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_by_bytes
 
@@ -45,4 +52,4 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("conv").alias("conv_id"), "turn", F.col("row.role").alias("role"), "reply_to", "n_quoted", "branch_depth", "position", "formatted")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op8_sharding, op9_packing, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op7_jaccard_join, op8_sharding, op9_packing, op10_chat_formatting)}

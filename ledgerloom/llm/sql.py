@@ -23,4 +23,34 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(kep
 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 """
 
-SQL = {"op1_substring_dedup": OP1}
+OP7 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 2], ' ') AS sh FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)
+  UNION ALL
+  SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) IN (1, 2)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), o AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), link AS (
+  SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 90 * (x.n + y.n - o)
+), e AS (
+  SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach AS (
+  SELECT doc_id AS v, doc_id AS r FROM documents
+  UNION
+  SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.v
+), smallest AS (
+  SELECT v, min(r) AS component_id FROM reach GROUP BY v
+), sets AS (
+  SELECT doc_id, list_sort(list(sh)) AS shs FROM s GROUP BY doc_id
+), classes AS (
+  SELECT doc_id, min(doc_id) OVER (PARTITION BY shs) AS class_id FROM sets
+)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id, c.class_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN smallest m ON m.v = d.doc_id LEFT JOIN classes c USING (doc_id)
+"""
+
+SQL = {"op1_substring_dedup": OP1, "op7_jaccard_join": OP7}
