@@ -25,6 +25,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), F.explode("overlaps").alias("o")).select("doc_id", "o.*")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_text
+
+    return extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("row.page_id", "row.url", F.col("extracted").alias("text"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
 
@@ -52,4 +58,4 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("conv").alias("conv_id"), "turn", F.col("row.role").alias("role"), "reply_to", "n_quoted", "branch_depth", "position", "formatted")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op7_jaccard_join, op8_sharding, op9_packing, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op5_html_extraction, op7_jaccard_join, op8_sharding, op9_packing, op10_chat_formatting)}
