@@ -31,6 +31,14 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("row.page_id", "row.url", F.col("extracted").alias("text"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, fold, score_toxicity
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score_toxicity(docs, fit(docs, _table(spark, sf_dir, "labels"))).select("row.doc_id", "score")
+    return out.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
 
@@ -58,4 +66,4 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("conv").alias("conv_id"), "turn", F.col("row.role").alias("role"), "reply_to", "n_quoted", "branch_depth", "position", "formatted")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op5_html_extraction, op7_jaccard_join, op8_sharding, op9_packing, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op5_html_extraction, op6_toxicity, op7_jaccard_join, op8_sharding, op9_packing, op10_chat_formatting)}
