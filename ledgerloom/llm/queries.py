@@ -25,6 +25,14 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), F.explode("overlaps").alias("o")).select("doc_id", "o.*")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kneser_ney import score_quality, trusted_rows
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = score_quality(docs, trusted_rows(docs, _table(spark, sf_dir, "labels")))
+    return out.select("row.doc_id", "row.lang", "bits", "perplexity", "threshold", "keep")
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract_text
 
@@ -66,4 +74,4 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("conv").alias("conv_id"), "turn", F.col("row.role").alias("role"), "reply_to", "n_quoted", "branch_depth", "position", "formatted")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op5_html_extraction, op6_toxicity, op7_jaccard_join, op8_sharding, op9_packing, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op4_quality_classifier, op5_html_extraction, op6_toxicity, op7_jaccard_join, op8_sharding, op9_packing, op10_chat_formatting)}
