@@ -333,3 +333,20 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = unpack(data, "<u4", "<u8", "<u8")[1]
             none = pa.nulls(len(n), pa.int64())
             yield pa.RecordBatch.from_arrays([none, pa.array(n.astype(np.int64)), none, none], names=["id", "n_shingles", "class_id", "component_id"])
+
+
+def one_of_each(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", most: int = 4_000_000) -> DataFrame:
+    """The rows of ``docs`` but for those that can reach a document with a smaller id; of rows that repeat an id, one stays,
+    and rows without an id all stay. The ids that go are spread to the texts if there are at most ``most``, else joined."""
+    scratch = Scratch(docs.sparkSession)
+    ids = scratch.keep(jaccard_components(docs, n_words, percent, id_col, text_col).filter("id IS NOT NULL").select("id", "component_id"))
+    gone = ids.filter("id <> component_id").select("id").distinct()
+    key = F.col(f"`{id_col}`")
+    if gone.count() <= most:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone.withColumnRenamed("id", "_gone"), key == F.col("_gone"), "left_anti")
+    again = scratch.keep(ids.groupBy("id").count().filter("count > 1").select(F.col("id").alias("_again")))
+    if again.limit(1).count():
+        once = kept.join(again, key == F.col("_again"), "left_semi").dropDuplicates([id_col])
+        kept = kept.join(again, key == F.col("_again"), "left_anti").union(once)
+    return kept
