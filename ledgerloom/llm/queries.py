@@ -17,6 +17,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import embedding_components
+
+    out, _ = embedding_components(_table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each overlap of a document with a benchmark item; clean documents have none."""
     from .decontaminate import find_overlaps
@@ -74,4 +81,4 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("conv").alias("conv_id"), "turn", F.col("row.role").alias("role"), "reply_to", "n_quoted", "branch_depth", "position", "formatted")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op4_quality_classifier, op5_html_extraction, op6_toxicity, op7_jaccard_join, op8_sharding, op9_packing, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_embedding_dedup, op3_decontamination, op4_quality_classifier, op5_html_extraction, op6_toxicity, op7_jaccard_join, op8_sharding, op9_packing, op10_chat_formatting)}

@@ -53,4 +53,25 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id,
 FROM documents d LEFT JOIN n USING (doc_id) JOIN smallest m ON m.v = d.doc_id LEFT JOIN classes c USING (doc_id)
 """
 
-SQL = {"op1_substring_dedup": OP1, "op7_jaccard_join": OP7}
+OP2 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), ok AS (
+  SELECT * FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+  SELECT vec_id AS x, vec_id AS r FROM v
+  UNION
+  SELECT link.b, reach.r FROM reach JOIN link ON link.a = reach.x
+), smallest AS (
+  SELECT x, min(r) AS component_id FROM reach GROUP BY x
+)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, s.component_id, v.vec_id = s.component_id AS kept
+FROM v JOIN smallest s ON s.x = v.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) n ON n.a = v.vec_id
+"""
+
+SQL = {"op1_substring_dedup": OP1, "op2_embedding_dedup": OP2, "op7_jaccard_join": OP7}
