@@ -277,8 +277,8 @@ def score_quality(
     model = model.withColumn("shard", F.when(F.col("k").isin(0, 1), F.lit(-1)).otherwise(place))
 
     def shard(number: int) -> tuple:
-        part = model.filter(F.col("shard").isin(-1, number)).select("k", "g", "v").toPandas()
-        return part["k"].to_numpy(np.int8), part["g"].to_numpy(np.int64), part["v"].to_numpy(np.float32)
+        part = model.filter(F.col("shard").isin(-1, number)).select(F.col("k").cast("byte").alias("k"), "g", F.col("v").cast("float").alias("v")).toArrow()
+        return tuple(part.column(c).to_numpy() for c in ("k", "g", "v"))
 
     def surprises(df: DataFrame) -> DataFrame:
         """df has the columns row and text; text is dropped."""
