@@ -24,9 +24,13 @@ OP_0, OP_1, OP_16, OP_RETURN, OP_CHECKSIG, OP_CHECKMULTISIG = 0x00, 0x51, 0x60,
 WALK = T.StructType([T.StructField("kind", T.StringType()), T.StructField("m", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("keys", T.ArrayType(T.BinaryType()))])
 
 
-def byte_at(script: Column, position: int) -> Column:
-    """The byte at a position from 0 as a number; null behind the end."""
-    return F.conv(F.hex(F.substring(script, position + 1, 1)), 16, 10).cast("int")
+def byte_is(script: Column, position: int, *values: int) -> Column:
+    """Whether the byte at a position from 0 is one of some values; false behind the end."""
+    one = F.substring(script, position + 1, 1)
+    found = F.lit(False)
+    for v in values:
+        found = found | (one == F.lit(bytes([v])))
+    return found
 
 
 def _is(script: Column, length: int, head: bytes, tail: bytes = b"") -> Column:
@@ -40,11 +44,13 @@ def is_unspendable(script: Column) -> Column:
 
 
 def witness_program(script: Column) -> tuple[Column, Column, Column]:
-    """(is one, version, program): a version opcode, then one direct push of 2 to 40 bytes to the very end."""
-    size, op, push = F.octet_length(script), byte_at(script, 0), byte_at(script, 1)
-    ok = size.between(4, 42) & ((op == OP_0) | op.between(OP_1, OP_16)) & push.between(2, 40) & (size == push + 2)
-    ok = F.coalesce(ok, F.lit(False))
-    return ok, F.when(ok, F.when(op == OP_0, 0).otherwise(op - (OP_1 - 1))), F.when(ok, F.substring(script, 3, 40))
+    """(is one, version, program): a version opcode, then one direct push of 2 to 40 bytes to the very end.
+
+    On the hex digits of the first two bytes, as the expression is copied into several others."""
+    head, size = F.hex(F.substring(script, 1, 2)), F.octet_length(script)
+    ok = head.rlike(r"\A(00|5[1-9A-F]|60)(0[2-9A-F]|1[0-9A-F]|2[0-8])\z") & (F.substring(head, 3, 2) == F.lpad(F.hex(size - 2), 2, "0"))
+    version = F.when(head.startswith("60"), 16).otherwise(F.conv(F.substring(head, 2, 1), 16, 10).cast("int"))
+    return F.coalesce(ok, F.lit(False)), F.when(ok, version), F.when(ok, F.substring(script, 3, 40))
 
 
 def is_pubkey(length: int, prefix: int) -> bool:
@@ -108,26 +114,21 @@ def _walk(scripts: pd.Series) -> pd.DataFrame:
 def classify(df: DataFrame, script: str = "script_pubkey") -> DataFrame:
     """Add script_type, witness_version, witness_program, pubkeys, required, unspendable."""
     s = F.col(script)
-    is_witness, version, program = witness_program(s)
+    _, version, program = witness_program(s)
     size = F.octet_length(s)
-    by_witness = F.when(~is_witness, None)
+    fixed = F.when(_is(s, 25, b"\x76\xa9\x14", b"\x88\xac"), "p2pkh").when(_is(s, 23, b"\xa9\x14", b"\x87"), "p2sh")
+    fixed = fixed.when((_is(s, 35, b"\x21", b"\xac") & byte_is(s, 1, 2, 3)) | (_is(s, 67, b"\x41", b"\xac") & byte_is(s, 1, 4, 6, 7)), "p2pk")
     for (v, n), name in WITNESS_TYPES.items():
-        by_witness = by_witness.when((version == v) & (F.octet_length(program) == n), name)
-    by_witness = by_witness.when(version == 0, "unknown").otherwise("unknown_witness")
-    p2pk = (_is(s, 35, b"\x21", b"\xac") & byte_at(s, 1).isin(2, 3)) | (_is(s, 67, b"\x41", b"\xac") & byte_at(s, 1).isin(4, 6, 7))
-    fixed = (
-        F.when(is_witness, by_witness)
-        .when(_is(s, 25, b"\x76\xa9\x14", b"\x88\xac"), "p2pkh")
-        .when(_is(s, 23, b"\xa9\x14", b"\x87"), "p2sh")
-        .when(p2pk, "p2pk")
-    )
+        fixed = fixed.when(_is(s, n + 2, bytes([v and OP_1 - 1 + v, n])), name)
     df = df.withColumn("_fixed", fixed).withColumn("_v", version).withColumn("_p", program)
-    walks = F.col("_fixed").isNull() & (size > 0) & ((byte_at(s, 0) == OP_RETURN) | (F.substring(s, -1, 1) == F.lit(bytes([OP_CHECKMULTISIG]))))
+    walks = (size > 0) & (byte_is(s, 0, OP_RETURN) | (F.substring(s, -1, 1) == F.lit(bytes([OP_CHECKMULTISIG]))))
     df = df.withColumn("_w", _walk(F.when(walks, s)))
+    # No fixed template begins like a witness program, and no walk accepts one.
+    other = F.when(F.col("_v") == 0, "unknown").when(F.col("_v").isNotNull(), "unknown_witness")
     pubkey = F.when(F.col("_fixed") == "p2pk", F.array(F.expr(f"substring({script}, 2, octet_length({script}) - 2)")))
     return df.select(
         *(c for c in df.columns if not c.startswith("_")),
-        F.coalesce("_fixed", "_w.kind", F.lit("unknown")).alias("script_type"),
+        F.coalesce("_fixed", other, "_w.kind", F.lit("unknown")).alias("script_type"),
         F.col("_v").alias("witness_version"),
         F.col("_p").alias("witness_program"),
         F.coalesce(pubkey, F.col("_w.keys")).alias("pubkeys"),

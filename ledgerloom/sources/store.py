@@ -91,14 +91,22 @@ class Store:
         finally:
             self._fs.delete(lock, False)
 
+    def stage(self, name: str, df: DataFrame) -> DataFrame:
+        """Write a table that nobody reads yet, so that checks and later tables start from files and not from its whole plan."""
+        path = f"staged-{uuid.uuid4().hex[:12]}/{name}"
+        df.write.parquet(f"{self.path}/{path}")
+        out = self.spark.read.parquet(f"{self.path}/{path}")
+        out._staged = path
+        return out
+
     def publish(self, tables: dict[str, DataFrame], **manifest) -> Version:
-        """Replace the given tables and manifest fields; other tables stay those of the version before. The manifest is last."""
+        """Replace the given tables (staged or not) and manifest fields; other tables stay those of the version before. The
+        manifest is last."""
         old = self.current()
         generation = old.generation + 1
         names = dict(old.manifest["tables"])
         for name, df in tables.items():
-            names[name] = f"v{generation}-{uuid.uuid4().hex[:8]}/{name}"
-            df.write.parquet(f"{self.path}/{names[name]}")
+            names[name] = getattr(df, "_staged", None) or self.stage(name, df)._staged
         new = {**old.manifest, **manifest, "generation": generation, "tables": names}
         self._write(f"manifest-{generation}.tmp", json.dumps(new))
         context = self._hadoop.fs.FileContext.getFileContext(self._p("x").toUri() if "://" in self.path else self._fs.getUri(), self.spark._jsc.hadoopConfiguration())

@@ -33,19 +33,21 @@ class DeepReorg(RuntimeError):
     """No common ancestor within the allowed depth."""
 
 
-def derive(bodies: dict[str, DataFrame], schedule: Schedule) -> dict[str, DataFrame]:
-    """Everything that follows from bodies and the canonical set, behind the gates."""
-    blocks = bodies["blocks"]
-    occ = chain.occurrences(bodies["occurrences"], blocks)
+def derive(store: Store, bodies: dict[str, DataFrame], schedule: Schedule) -> dict[str, DataFrame]:
+    """Everything that follows from bodies and the canonical set, behind the gates. Each table is staged once, and what
+    follows from it starts there."""
+    blocks, inputs, outputs = bodies["blocks"], bodies["inputs"], bodies["outputs"]
+    occ = store.stage("occurrences", chain.occurrences(bodies["occurrences"], blocks))
     canon = spend.canonical_occurrences(occ)
-    inputs, outputs = bodies["inputs"], bodies["outputs"]
     assert_empty(spend.missing_prevouts(outputs, inputs, canon), "missing prevout")
     assert_empty(spend.double_spends(inputs, canon), "double spend")
-    state = spend.utxo_state(outputs, inputs, canon)
+    state = store.stage("utxo_state", spend.utxo_state(outputs, inputs, canon))
     owners = outputs.filter("address IS NOT NULL").select("txid", "vout_index", "address")
-    agg = addresses.address_aggregates(owners, state)
-    acc = accounting.checked_accounting(accounting.block_accounting(blocks, occ, bodies["transactions"], inputs, outputs, schedule))
-    rollup = accounting.backfill_rollup(blocks, acc, occ, outputs, state)
+    agg = store.stage("addresses", addresses.address_aggregates(owners, state))
+    acc = store.stage("accounting", accounting.block_accounting(blocks, occ, bodies["transactions"], inputs, outputs, schedule))
+    acc_rows = accounting.checked_accounting(acc)
+    rollup = store.stage("rollup", accounting.supply_rollup(acc_rows, accounting.excluded_outputs(blocks, occ, outputs)))
+    accounting.check_rollup(blocks, acc_rows, rollup, state)
     return {"occurrences": occ, "utxo_state": state, "addresses": agg, "accounting": acc, "rollup": rollup, "distribution": distribution.checked_distribution(agg)}
 
 
@@ -55,8 +57,9 @@ def _tip(blocks: DataFrame) -> tuple[int, str | None]:
 
 
 def _publish(store: Store, bodies: dict[str, DataFrame], schedule: Schedule) -> Version:
+    bodies = {name: df if hasattr(df, "_staged") else store.stage(name, df) for name, df in bodies.items()}
     height, hash_ = _tip(bodies["blocks"])
-    tables = {**bodies, **derive(bodies, schedule)}
+    tables = {**bodies, **derive(store, bodies, schedule)}
     return store.publish(tables, indexed_height=height, indexed_block_hash=hash_, rollup_anchor=hash_, distribution_anchor=hash_)
 
 
@@ -82,6 +85,7 @@ def apply_blocks(store: Store, batch: dict[str, DataFrame], schedule: Schedule,
     """Insert what is new, verify what is not, make the batch canonical, and publish."""
     with store.writing():
         version = store.current()
+        batch = {name: store.stage(name, batch[name]) for name in BODIES}
         check_continues(batch["blocks"], version)
         if network is not None:
             first = batch["blocks"].filter("height = 0").select("hash").first()
