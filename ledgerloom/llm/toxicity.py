@@ -55,37 +55,39 @@ def letters(word: str) -> str:
 
 def coded(words: list[str], width: int) -> np.ndarray:
     """Letters as numbers 1 to 63 (rare ones share numbers), 0 behind the end."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    raw = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
     out = np.zeros((len(words), width), np.uint8)
-    for n in {len(w) for w in words} - {0}:
-        at = [k for k, w in enumerate(words) if len(w) == n]
-        raw = np.frombuffer("".join(words[k] for k in at).encode("utf-32-le"), "<u4").reshape(len(at), n)
-        out[at, :n] = np.where((raw >= 97) & (raw < 123), raw - 96, np.where(raw == ord(START), 27, 28 + raw % 36))
+    at = np.arange(len(raw)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    out[np.repeat(np.arange(len(words)), lengths), at] = np.where((raw >= 97) & (raw < 123), raw - 96, np.where(raw == ord(START), 27, 28 + raw % 36))
     return out
 
 
 def subsequence_kernel(w: np.ndarray, z: np.ndarray, decay: float = DECAY) -> np.ndarray:
     """K_p for p in LENGTHS of pairs of coded words, one pair a row: shape (pairs, len(LENGTHS))."""
     n, width, tall = len(w), w.shape[1], z.shape[1]
-    square = decay * decay
+    decay = np.float32(decay)
     out = np.zeros((n, len(LENGTHS)), np.float32)
-    same = [[(w[:, i] == z[:, j]) & (w[:, i] > 0) for j in range(tall)] for i in range(width)]
-    weight = np.ones((width + 1, tall + 1, 1), np.float32)  # K' of the length before, for prefixes of w and z
+    same = [[((w[:, i] == z[:, j]) & (w[:, i] > 0)).astype(np.float32) * (decay * decay) for j in range(tall)] for i in range(width)]
+    before = None  # K' of the length before, for prefixes of w and z; 1 for length 0
+    scratch = np.empty(n, np.float32)
     for p in range(1, max(LENGTHS) + 1):
-        if p in LENGTHS:
-            total = np.zeros(n, np.float32)
-            for i in range(width):
-                for j in range(tall):
-                    total += same[i][j] * weight[i, j]
-            out[:, LENGTHS.index(p)] = total * square
-        if p == max(LENGTHS):
-            break
-        new = np.zeros((width + 1, tall + 1, n), np.float32)
-        for i in range(width):
+        total = np.zeros(n, np.float32)
+        now = np.zeros((width + 1, tall + 1, n), np.float32) if p < max(LENGTHS) else None
+        for i in range(p - 1, width):
             run = np.zeros(n, np.float32)
-            for j in range(tall):
-                run = decay * run + square * (same[i][j] * weight[i, j])
-                new[i + 1, j + 1] = decay * new[i, j + 1] + run
-        weight = new
+            for j in range(p - 1, tall):
+                ended = same[i][j] if before is None else np.multiply(same[i][j], before[i, j], out=scratch)
+                if p in LENGTHS:
+                    total += ended
+                if now is not None:
+                    run *= decay
+                    run += ended
+                    np.multiply(now[i, j + 1], decay, out=now[i + 1, j + 1])
+                    now[i + 1, j + 1] += run
+        if p in LENGTHS:
+            out[:, LENGTHS.index(p)] = total
+        before = now
     return out
 
 
@@ -95,6 +97,7 @@ class Similarity:
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
         self.coded = coded(landmarks, max(map(len, landmarks), default=1))
+        self.lengths = np.array([len(z) for z in landmarks], np.int64)
         self.own = subsequence_kernel(self.coded, self.coded)
         self.mask = self._masks(self.coded)
         # A common subsequence of p letters has at least this many different ones.
@@ -114,14 +117,16 @@ class Similarity:
             codes = coded(group, max(map(len, group), default=1) or 1)
             masks = self._masks(codes)
             near = np.bitwise_count(masks[:, None] & self.mask[None, :]) >= np.maximum(self.least, 1)[None, :]
-            i, j = np.nonzero(near)
-            for b in range(0, len(i), 16384):
-                x, y = i[b : b + 16384], j[b : b + 16384]
-                raw = subsequence_kernel(codes[x], self.coded[y])
-                has = self.own[y] > 0
-                value = (np.where(has, raw / np.maximum(self.own[y], 1e-30), 0).clip(0, 1).sum(1) / np.maximum(has.sum(1), 1)) ** POWER
-                ok = value >= FLOOR
-                found.append((at[x[ok]], y[ok], value[ok]))
+            for length in np.unique(self.lengths):  # landmarks of one length at a time, so that none is padded
+                marks = np.flatnonzero(self.lengths == length)
+                i, j = np.nonzero(near[:, marks])
+                for b in range(0, len(i), 16384):
+                    x, y = i[b : b + 16384], marks[j[b : b + 16384]]
+                    raw = subsequence_kernel(codes[x], self.coded[y, :length])
+                    has = self.own[y] > 0
+                    value = (np.where(has, raw / np.maximum(self.own[y], 1e-30), 0).clip(0, 1).sum(1) / np.maximum(has.sum(1), 1)) ** POWER
+                    ok = value >= FLOOR
+                    found.append((at[x[ok]], y[ok], value[ok]))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         return tuple(np.concatenate(c) for c in zip(*found))
@@ -132,24 +137,26 @@ class Sentences:
 
     def __init__(self, landmarks: list[str]):
         self.kernel = Similarity(landmarks)
-        self.rows: dict[str, tuple] = {}
+        self.known: set[str] = set()  # words that have been compared
+        self.rows: dict[str, tuple] = {}  # those of them that are similar to a landmark
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.rows]
-        if len(self.rows) + len(new) > CACHE:
+        new = words - self.known
+        if len(self.known) + len(new) > CACHE:
+            self.known.clear()
             self.rows.clear()
-            new = list(words)
-        parts: list[str] = []
-        owner: list[int] = []
-        for k, w in enumerate(new):
+            new = words
+        self.known |= new
+        owners: dict[str, list[str]] = {}
+        for w in new:
             bare = START + letters(w)
             for a in range(0, max(1, len(bare) - OVERLAP), MAX_WORD - OVERLAP):
-                parts.append(bare[a : a + MAX_WORD])
-                owner.append(k)
-        self.rows.update(dict.fromkeys(new, ()))
+                owners.setdefault(bare[a : a + MAX_WORD], []).append(w)
+        parts = list(owners)
         if self.kernel.landmarks:
             for k, z, v in zip(*(c.tolist() for c in self.kernel.of(parts))):
-                self.rows[new[owner[k]]] += ((z, v),)
+                for w in owners[parts[k]]:
+                    self.rows[w] = (*self.rows.get(w, ()), (z, v))
 
     def of(self, texts: list[str | None]) -> list[dict[int, dict[int, float]]]:
         """For each text: sentence number -> landmark -> similarity, of the sentences that have any."""
@@ -157,33 +164,40 @@ class Sentences:
         out = []
         for a in range(0, len(split), 256):  # so that the words of a group fit the cache
             group = split[a : a + 256]
-            self.learn(set().union(*group))
-            out += [self._one(ws) for ws in group]
+            different = [set(ws) for ws in group]
+            self.learn(set().union(*different))
+            similar = self.rows.keys()
+            out += [self._one(ws, near) if (near := similar & d) else {} for ws, d in zip(group, different)]
         return out
 
-    def _one(self, ws: list[str]) -> dict[int, dict[int, float]]:
-        get = self.rows.__getitem__
-        hits = [k for k, w in enumerate(ws) if get(w)]
+    def _one(self, ws: list[str], near: set[str]) -> dict[int, dict[int, float]]:
         out: dict[int, dict[int, float]] = {}
-        if hits:
-            sentence, at = 0, 0
-            for k in hits:
-                sentence += sum(1 for w in ws[at:k] if _END.search(w))
-                at = k
-                best = out.setdefault(sentence, {})
-                for z, v in get(ws[k]):
-                    best[z] = max(v, best.get(z, 0.0))
+        sentence, at = 0, 0
+        for k in [k for k, w in enumerate(ws) if w in near]:
+            sentence += sum(1 for w in ws[at:k] if _END.search(w))
+            at = k
+            best = out.setdefault(sentence, {})
+            for z, v in self.rows[ws[k]]:
+                best[z] = max(v, best.get(z, 0.0))
         return out
 
 
-_SINGLES = re.compile(r"(?:(?<=\s)|^)\w(?:[ ]\w(?=\s|$)){3,}")
-
-
 def words_of(text: str | None) -> list[str]:
-    """Words between blanks; runs of single letters follow as words of their own."""
+    """Words between blanks; runs of four or more single letters follow as words of their own."""
     if not text:
         return []
-    return text.split() + [m.group().replace(" ", "") for m in _SINGLES.finditer(text)]
+    ws = text.split()
+    single = [k for k, w in enumerate(ws) if len(w) == 1]
+    runs: list[str] = []
+    a = 0
+    while a + 3 < len(single):
+        b = a
+        while b + 1 < len(single) and single[b + 1] == single[b] + 1:
+            b += 1
+        if b - a >= 3:
+            runs.append("".join(ws[single[a] : single[b] + 1]))
+        a = b + 1
+    return ws + runs
 
 
 @dataclass
@@ -204,29 +218,29 @@ class Model:
 
 def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int) -> list[str]:
     """Sequences of 4 to 9 letters (the start of a word counts as one), by greedy weighted cover of the toxic texts."""
-    size = 4
-    words: dict[str, int] = {}
-    docs, grams = [], []
-    each = []
+    size, bits = 4, 6
+    docs, grams, joined = [], [], []
     for d, t in enumerate(texts):
         bare = {b for w in set(words_of(t)) if len(b := START + letters(w)) >= size}
-        each.append(bare)
-        found = {b[k : k + size] for b in bare for k in range(len(b) - size + 1)}
-        ids = np.array([words.setdefault(g, len(words)) for g in found], np.int64)
-        docs.append(np.full(len(ids), d))
-        grams.append(ids)
+        joined.append("\n" + "\n".join(sorted(bare)) + "\n")
+        c = coded([joined[-1]], len(joined[-1]))[0].astype(np.int32)
+        c[np.frombuffer(joined[-1].encode("utf-32-le"), "<u4") == 10] = 0
+        own = [c[k : len(c) - size + 1 + k] for k in range(size)]
+        whole = np.logical_and.reduce([x > 0 for x in own])
+        grams.append(np.unique(sum(x << bits * (size - 1 - k) for k, x in enumerate(own))[whole]))
+        docs.append(np.full(len(grams[-1]), d, np.int32))
     docs, grams = np.concatenate(docs), np.concatenate(grams)
-    names = list(words)
-    other = np.bincount(grams[~toxic[docs]], minlength=len(names))
+    n_grams = 1 << bits * size
+    other = np.bincount(grams[~toxic[docs]], minlength=n_grams)
     keep = toxic[docs]
     docs, grams = docs[keep], grams[keep]
     need = toxic.astype(float)
     least = max(2, toxic.sum() // 200)
     share = toxic.sum() / max(1, (~toxic).sum())
     out: list[str] = []
-    tried = np.zeros(len(names), bool)
+    tried = np.zeros(n_grams, bool)
     while len(out) < most:
-        count = np.bincount(grams, weights=need[docs], minlength=len(names))
+        count = np.bincount(grams, weights=need[docs], minlength=n_grams)
         gain = count - 4 * share * other
         gain[tried] = -np.inf
         best = int(np.argmax(gain))
@@ -234,12 +248,11 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int) -> list[str
         if count[best] < least or gain[best] <= count[best] / 2:
             break
         members = docs[grams == best]
-        z = names[best]
+        z = _most_common(joined, members, size, lambda s: s if _number_of(s, bits) == best else None)
         while len(z) < 9:  # grow while nearly all of these texts have the longer sequence too
             longer: dict[str, int] = {}
             for d in members.tolist():
-                seen = {b[k - 1 : k + len(z)] for b in each[d] for k in range(1, len(b)) if b.startswith(z, k)} | {b[k : k + len(z) + 1] for b in each[d] for k in range(len(b) - len(z)) if b.startswith(z, k)}
-                for s in seen:
+                for s in _around(joined[d], z):
                     longer[s] = longer.get(s, 0) + 1
             top = max(longer, key=lambda s: (longer[s], s), default=None)
             if top is None or longer[top] < 0.9 * len(members):
@@ -250,6 +263,39 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int) -> list[str
     return list(dict.fromkeys(out))
 
 
+def _number_of(s: str, bits: int) -> int:
+    n = 0
+    for x in coded([s], len(s))[0].tolist():
+        n = n << bits | x
+    return n
+
+
+def _most_common(joined: list[str], members: np.ndarray, size: int, accept) -> str:
+    """The sequence that the number of a gram stands for: rare letters share numbers, so the most common one counts."""
+    seen: dict[str, int] = {}
+    checked: dict[str, str | None] = {}
+    for d in members[:50].tolist():
+        t = joined[d]
+        for s in {t[k : k + size] for k in range(len(t) - size + 1)}:
+            if s not in checked:
+                checked[s] = None if "\n" in s else accept(s)
+            if checked[s]:
+                seen[s] = seen.get(s, 0) + 1
+    return max(seen, key=lambda s: (seen[s], s))
+
+
+def _around(text: str, z: str) -> set[str]:
+    """Sequences of one more letter, before or behind, of all occurrences."""
+    found, at = set(), text.find(z)
+    while at >= 0:
+        if text[at - 1] != "\n":
+            found.add(text[at - 1 : at + len(z)])
+        if text[at + len(z)] != "\n":
+            found.add(text[at : at + len(z) + 1])
+        at = text.find(z, at + 1)
+    return found
+
+
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1.0) -> tuple[np.ndarray, float]:
     """Newton steps on w.w/2 + cost * sum(weight * max(0, 1 - y f)^2), with a bias in the last place."""
     x1 = np.c_[x, np.ones(len(x))]
