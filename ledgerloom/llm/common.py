@@ -69,11 +69,16 @@ class Scratch:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished jobs now, rather than when the driver next collects garbage."""
+    """Let Spark remove the shuffle files of finished jobs now, rather than when the driver next collects garbage.
+
+    The first collection only queues what refers to them; they go with the second, in the background."""
     import gc
+    import time
 
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def partitions(spark: SparkSession) -> int:
