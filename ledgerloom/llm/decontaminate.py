@@ -5,12 +5,12 @@ Plan. The benchmark, not the corpus, is spread: its size is measured, it is cut
 text, and each slice's seed table goes to the workers for one pass over the documents. One slice is the usual case; a
 larger benchmark means more passes, never a table that outgrows a worker. Documents are neither shuffled nor sorted.
 
-A word is a run of letters, digits, underscores and non-ASCII characters of the lower-cased text. An overlap is the best segment of a diagonal, where a match
-counts 1 and a substitution -3; it is reported if it has ``min_words`` words (or the whole item, if that is shorter) and
-at least four fifths of them match.
+A word is a run of letters, digits, underscores and non-ASCII characters of the lower-cased text. An overlap is a stretch of
+a diagonal of at least ``min_words`` words (or the whole item, if that is shorter) of which at least four fifths match: the
+longest such stretch, less the substitutions at its ends as far as that length allows, and then those beside it. From 13
+words on, the masks hit every such stretch, wherever its substitutions are; items of fewer words have seeds of their own.
 
-Defined results. Null or blank texts and items overlap with nothing, nor do items of fewer words than the shortest mask
-selects. Rows that repeat an id are each judged. An empty benchmark: no overlaps. Other columns are carried in ``row``.
+Defined results. Null or blank texts and items overlap with nothing. Rows that repeat an id are each judged. An empty benchmark: no overlaps. Other columns are carried in ``row``.
 """
 
 from __future__ import annotations
@@ -25,9 +25,10 @@ from pyspark.sql import types as T
 
 from .common import LOWER_ALNUM, WordHash, mix, total_bytes
 
-MASKS = ("11101011", "110010111", "1011011001", "1101100011")
+#: Tried on all placements: every 13 to 25 words with at most a fifth of substitutions hold one; a longer stretch holds such a one.
+MASKS = ("1101111", "1111011", "1101000111", "111010000011")
+SHORT = 13
 SLICE_BYTES = 8 << 20
-MISMATCH = -3
 GROUP = 64
 _ODD = np.cumprod(np.full(64, 0x9E3779B97F4A7C15 | 1, np.uint64), dtype=np.uint64)
 OVERLAP = "array<struct<item_id:long,doc_start:int,doc_end:int,item_start:int,n_words:int,n_matches:int>>"
@@ -44,6 +45,14 @@ def _hashes(w: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return mix(out)
 
 
+def _whole_seeds(n: int) -> list[tuple[str, int]]:
+    """(mask, item position) of which every alignment of a whole item of n words with n // 5 substitutions has one intact."""
+    if n == 5:
+        return [("1111", 0), ("1111", 1), ("10111", 0), ("11011", 0), ("11101", 0)]
+    cuts = [n * k // (n // 5 + 1) for k in range(n // 5 + 2)]
+    return [("1" * (b - a), a) for a, b in zip(cuts, cuts[1:])]
+
+
 class SeedTable:
     """The masked hashes of all benchmark positions, and the items' words for verification."""
 
@@ -54,11 +63,15 @@ class SeedTable:
         self.ids = np.array([i for i, _ in items], np.int64)
         self.words = self.of([t for _, t in items])
         keys, item, pos = [], [], []
-        for m, mask in enumerate(MASKS):
-            for k, w in enumerate(self.words):
-                keys.append(h := _hashes(w, mask, m))
-                item.append(np.full(len(h), k))
-                pos.append(np.arange(len(h)))
+        self.masks = {mask: m for m, mask in enumerate(MASKS)}
+        for k, w in enumerate(self.words):
+            seeds = [(mask, None) for mask in MASKS] + (_whole_seeds(len(w)) if 0 < len(w) < SHORT else [])
+            for mask, a in seeds:
+                h = _hashes(w, mask, self.masks.setdefault(mask, len(self.masks)))
+                at = np.arange(len(h)) if a is None else np.array([a])
+                keys.append(h[at])
+                item.append(np.full(len(at), k))
+                pos.append(at)
         keys, item, pos = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (keys, item, pos))
         order = np.argsort(keys)
         self.keys, self.item, self.pos = keys[order], item[order], pos[order]
@@ -78,13 +91,13 @@ class SeedTable:
             ends = np.cumsum([len(x) for x in w])
             for text, item, diagonal in self.candidates(np.concatenate(w), ends):
                 each[text].add((item, diagonal))
-            out += [[x for pair in sorted(pairs) if (x := self.segment(w[k], *pair))] for k, pairs in enumerate(each)]
+            out += [[x for pair in sorted(pairs) for x in self.segments(w[k], *pair)] for k, pairs in enumerate(each)]
         return out
 
     def candidates(self, w: np.ndarray, ends: np.ndarray) -> set[tuple[int, int, int]]:
         """(text, item, diagonal) of every hit that does not reach over the end of its text."""
         found: set[tuple[int, int, int]] = set()
-        for m, mask in enumerate(MASKS):
+        for mask, m in self.masks.items():
             h = _hashes(w, mask, m)
             at = np.flatnonzero(self.seen[(h >> np.uint64(64 - self.BITS)).astype(np.int64)])
             a, b = np.searchsorted(self.keys, h[at], "left"), np.searchsorted(self.keys, h[at], "right")
@@ -101,19 +114,33 @@ class SeedTable:
             found.update(zip(*np.unique(hits, axis=1).tolist()))
         return found
 
-    def segment(self, w: np.ndarray, item: int, diagonal: int) -> dict | None:
-        """The best segment of the alignment of item position j with document position j + diagonal."""
+    def segments(self, w: np.ndarray, item: int, diagonal: int) -> list[dict]:
+        """The overlaps in the alignment of item position j with document position j + diagonal."""
         t = self.words[item]
         lo, hi = max(0, -diagonal), min(len(t), len(w) - diagonal)
         same = t[lo:hi] == w[lo + diagonal : hi + diagonal]
-        sums = np.r_[0, np.cumsum(np.where(same, 1, MISMATCH))]
-        gain = sums - np.minimum.accumulate(sums)
-        end = int(np.argmax(gain))
-        start = int(np.argmin(sums[: end + 1]))
-        n, matches = end - start, int(same[start:end].sum())
-        if n < min(self.min_words, len(t)) or 5 * matches < 4 * n:
-            return None
-        return {"item_id": int(self.ids[item]), "doc_start": lo + diagonal + start, "doc_end": lo + diagonal + end, "item_start": lo + start, "n_words": n, "n_matches": matches}
+        least = min(self.min_words, len(t))
+        out, rest = [], [(0, hi - lo)]
+        while rest:
+            a, b = rest.pop()
+            part = same[a:b]
+            if len(part) < least or 5 * np.count_nonzero(part) < 4 * least:
+                continue
+            # Four fifths match where matches count 1, substitutions -4, and the sum is not negative.
+            sums = np.r_[0, np.cumsum(np.where(part, 1, -4))]
+            first = np.searchsorted(-np.minimum.accumulate(sums), -sums)
+            end = int(np.argmax(np.arange(len(sums)) - first))
+            start = int(first[end])
+            if end - start < least:
+                continue
+            while end - start > least and not part[start]:
+                start += 1
+            while end - start > least and not part[end - 1]:
+                end -= 1
+            start, end = a + start, a + end
+            out.append({"item_id": int(self.ids[item]), "doc_start": lo + diagonal + start, "doc_end": lo + diagonal + end, "item_start": lo + start, "n_words": end - start, "n_matches": int(np.count_nonzero(same[start:end]))})
+            rest += [(a, start), (end, b)]
+        return sorted(out, key=lambda x: x["item_start"])
 
 
 def _pass(items: list[tuple[int, str]], min_words: int, kind: pa.DataType):

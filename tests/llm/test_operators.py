@@ -11,7 +11,7 @@ import pytest
 from ledgerloom.llm import chat, packing, sharding, toxicity
 from ledgerloom.llm.common import Scratch, WordHash, numbered, segments, spark_xxhash64
 from ledgerloom.llm.components import components
-from ledgerloom.llm.decontaminate import find_overlaps
+from ledgerloom.llm.decontaminate import SeedTable, find_overlaps
 from ledgerloom.llm.embedding_dedup import embedding_components
 from ledgerloom.llm.html_text import extract_text, html_to_text
 from ledgerloom.llm.jaccard_join import jaccard_components, one_of_each
@@ -165,6 +165,21 @@ def test_decontamination(spark, nothing):
     assert find_overlaps(nothing, bench).count() == 0
 
 
+def test_every_overlap_of_four_fifths():
+    for n, n_changed in [(n, n // 5) for n in range(1, 21)]:
+        item = [f"q{k}" for k in range(n)]
+        table = SeedTable([(9, " ".join(item))], 13)
+        texts = ["a b " + " ".join("other" if k in changed else x for k, x in enumerate(item)) + " c d e" for changed in itertools.combinations(range(n), n_changed)]
+        for text, found in zip(texts, table.overlaps(texts)):
+            assert len(found) == 1 and 5 * found[0]["n_matches"] >= 4 * found[0]["n_words"] >= 4 * min(13, n), text
+        too_many = ["other" if k <= n // 5 else x for k, x in enumerate(item)]
+        assert n >= 13 or not table.overlaps(["a b " + " ".join(too_many)])[0]
+    # Both ends of an item, its middle replaced, are two overlaps.
+    item = [f"q{k}" for k in range(60)]
+    found = SeedTable([(9, " ".join(item))], 13).overlaps([" ".join(item[:15] + ["other"] * 30 + item[45:])])[0]
+    assert [(x["doc_start"], x["doc_end"], x["n_matches"]) for x in found] == [(0, 15, 15), (45, 60, 15)]
+
+
 def test_quality(spark, nothing):
     rnd = random.Random(4)
     good = [" ".join(rnd.choices(["the", "cat", "sat", "on", "a", "mat"], k=40)) for _ in range(80)]
