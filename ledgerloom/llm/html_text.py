@@ -3,7 +3,8 @@ emits all visible text with block spacing, list markers and aligned table cells.
 
 Tree: void elements hold nothing; script, style and the like are raw text; p, li, dd, dt, tr, td, th, thead, tbody, tfoot,
 option and headings end the open elements that they imply the end of; an end tag closes up to its element, if that is open in
-the same cell; a stray ``</p>`` is an empty paragraph; whatever is open at the end is closed.
+the same cell; a stray ``</p>`` is an empty paragraph; the first tag or text that is no head matter ends an open head; whatever
+is open at the end is closed.
 
 Visible: everything but head matter, raw-text elements, comments, and elements with ``hidden``, ``aria-hidden=true``,
 ``type=hidden``, or a style with display:none or visibility:hidden. Alternative texts of images count as text.
@@ -30,6 +31,7 @@ from pyspark.sql import types as T
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe noembed noframes xmp".split())
 RCDATA = frozenset(("textarea", "title"))
+HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
 HIDDEN = RAW | frozenset("head title meta link base datalist object audio video canvas svg math map".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure form fieldset hr".split())
 BLOCK = SPACED | frozenset("html body div section article header footer nav aside main address li dt dd tr caption thead tbody tfoot figcaption details summary legend option select textarea center".split())
@@ -94,6 +96,8 @@ def parse(source: str) -> Node:
 
     def text(s: str) -> None:
         if s:
+            if n_open.get("head") and s.strip(" \t\n\r\f"):
+                end_implied({"head"}, set())
             stack[-1].children.append(html.unescape(s) if "&" in s else s)
 
     at, size = 0, len(source)
@@ -129,7 +133,7 @@ def parse(source: str) -> Node:
             end_implied(*IMPLIED[tag])
             if tag == "tr":
                 end_implied({"caption"}, {"table"})
-        if tag == "body":
+        if tag not in HEAD:
             end_implied({"head"}, set())
         node = Node(tag, attributes(rest) if rest.strip(" /") else None)
         stack[-1].children.append(node)

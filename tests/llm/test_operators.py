@@ -204,6 +204,13 @@ def test_html(spark):
     assert {r.row.extracted: r.extracted for r in extract_text(rows).collect()}[4] == "plain"
 
 
+def test_html_open_head():
+    assert html_to_text("<html><head><title>T</title><p>Text <b>of</b> the page<p>More") == "Text of the page\n\nMore"
+    assert html_to_text("<head><meta charset=x><style>a{}</style>\n Bare text</head><p>Rest") == "Bare text\n\nRest"
+    assert html_to_text("<html><head><title>T</title><link rel=x>\n<script>x()</script></head>\n<body>Body</html>") == "Body"
+    assert html_to_text("<head><title>T</title><div>Early</div></head><body>Late") == "Early\nLate"
+
+
 def test_string_kernel():
     def brute(s, t, p, decay):
         total = 0.0
