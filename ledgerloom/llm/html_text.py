@@ -6,8 +6,11 @@ option and headings end the open elements that they imply the end of; an end tag
 the same cell; a stray ``</p>`` is an empty paragraph; the first tag or text that is no head matter ends an open head; whatever
 is open at the end is closed.
 
-Visible: everything but head matter, raw-text elements, comments, and elements with ``hidden``, ``aria-hidden=true``,
-``type=hidden``, or a style with display:none or visibility:hidden. Alternative texts of images count as text.
+Visible: what a browser without scripts and plug-ins shows: everything but head matter, raw-text elements other than xmp,
+comments, datalists, the fallback of audio and video, and elements with ``hidden``, ``aria-hidden=true``, ``type=hidden``, or a
+style with display:none or visibility:hidden. So noscript, and what object and canvas hold, are shown. Of svg, its text and
+foreignObject elements are shown where they stand (not once more for each ``use``); of math, all but annotations and phantoms, with
+/, ^ and _ in fractions, powers and indices. Alternative texts of images count as text.
 
 Layout: blocks start on lines of their own, with a blank line around paragraphs, headings, lists, tables and quotes; blanks
 collapse except in pre and textarea; list items get ``- `` or their number, indented by level; the cells of a table are padded
@@ -29,15 +32,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe noembed noframes xmp".split())
+RAW = frozenset("script style template iframe noembed noframes xmp".split())
 RCDATA = frozenset(("textarea", "title"))
 HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
-HIDDEN = RAW | frozenset("head title meta link base datalist object audio video canvas svg math map".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure form fieldset hr".split())
+HIDDEN = RAW - {"xmp"} | frozenset("head title meta link base datalist audio video annotation annotation-xml mphantom".split())
+SVG_HIDDEN = frozenset("title desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter".split())
+#: Within svg and math: where HTML goes on, and the start tags that end them.
+INTEGRATION = frozenset("foreignobject desc mi mo mn ms mtext".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: What stands between the parts of a formula; a blank in the others.
+MATH_PARTS = {"mfrac": "/", "msup": "^", "msub": "_"} | dict.fromkeys("msubsup munder mover munderover mroot mmultiscripts mtr mtable".split(), " ")
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre xmp figure form fieldset hr".split())
 BLOCK = SPACED | frozenset("html body div section article header footer nav aside main address li dt dd tr caption thead tbody tfoot figcaption details summary legend option select textarea center".split())
 CELLS = frozenset(("td", "th"))
 #: A start tag ends these open elements, looking no further out than the scope.
-P_ENDERS = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+P_ENDERS = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul xmp".split())
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol"}),
     "dt": ({"dt", "dd"}, {"dl"}),
@@ -94,6 +103,16 @@ def parse(source: str) -> Node:
             if stack[k].tag in scope:
                 return
 
+    def foreign() -> int:
+        """Where the svg or math that the next tag belongs to is on the stack, or 0."""
+        if n_open.get("svg") or n_open.get("math"):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag in ("svg", "math"):
+                    return k
+                if stack[k].tag in INTEGRATION or (stack[k].tag == "annotation-xml" and "html" in stack[k].attrs.get("encoding", "").lower()):
+                    return 0
+        return 0
+
     def text(s: str) -> None:
         if s:
             if n_open.get("head") and s.strip(" \t\n\r\f"):
@@ -109,8 +128,13 @@ def parse(source: str) -> Node:
         text(source[at : m.start()])
         at = m.end()
         close, tag, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
-            continue  # a comment or declaration
+        if not tag:  # a comment or declaration
+            if m[0].startswith("<![CDATA[") and foreign():
+                end = source.find("]]>", m.start() + 9)
+                end = size if end < 0 else end
+                stack[-1].children.append(source[m.start() + 9 : end])
+                at = end + 3
+            continue
         tag = tag.lower()
         if close:
             if n_open.get(tag):
@@ -125,8 +149,12 @@ def parse(source: str) -> Node:
             elif tag == "br":
                 stack[-1].children.append(Node("br"))
             continue
+        outer = foreign()
+        if outer and tag in BREAKOUT:
+            close_to(outer)
+            outer = 0
         if tag in P_ENDERS:
-            end_implied({"p"}, CELLS | {"table", "button", "caption"})
+            end_implied({"p"}, CELLS | INTEGRATION | {"table", "button", "caption"})
             if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456" and stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 close_to(len(stack) - 1)
         if tag in IMPLIED:
@@ -137,11 +165,15 @@ def parse(source: str) -> Node:
             end_implied({"head"}, set())
         node = Node(tag, attributes(rest) if rest.strip(" /") else None)
         stack[-1].children.append(node)
+        if (outer or tag in ("svg", "math")) and rest.endswith("/"):
+            continue
         if tag in RAW or tag in RCDATA:
             end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.IGNORECASE).search(source, at)
             inner = source[at : end.start() if end else size]
             if tag in RCDATA:
                 node.children.append(html.unescape(inner))
+            elif tag == "xmp":
+                node.children.append(inner)
             at = end.end() if end else size
         elif tag not in VOID:
             stack.append(node)
@@ -156,6 +188,23 @@ def visible(node: Node) -> bool:
     return not (a and ("hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("type", "").lower() == "hidden" or ("style" in a and _UNSEEN.search(a["style"]))))
 
 
+def _labels(svg: Node) -> list[Node]:
+    """The elements of an svg that show text, in order."""
+    out: list[Node] = []
+    work = [svg]
+    while work:
+        node = work.pop()
+        a = node.attrs
+        if node.tag in SVG_HIDDEN or not visible(node) or a.get("display", "").lower() == "none" or a.get("visibility", "").lower() in ("hidden", "collapse"):
+            continue
+        if node.tag in ("text", "foreignobject"):
+            node.children = [c for c in node.children if isinstance(c, str) or c.tag not in SVG_HIDDEN]
+            out.append(node)
+        else:
+            work += [c for c in reversed(node.children) if not isinstance(c, str)]
+    return out
+
+
 class Lines:
     """Lines of one box: blanks collapse, and blank lines are pending until text follows."""
 
@@ -284,6 +333,17 @@ def render(root: Node) -> str:
         if tag == "input":
             box.put(" " + node.attrs.get("value", node.attrs.get("placeholder", "")) + " ")
             continue
+        if tag == "svg":
+            for label in reversed(_labels(node)):
+                work += [(" ", box, False, level), (label, box, False, level), (" ", box, False, level)]
+            continue
+        if tag in MATH_PARTS:
+            parts = [c for c in node.children if not isinstance(c, str)]
+            for k, part in reversed(list(enumerate(parts))):
+                work.append((part, box, False, level))
+                if k:
+                    work.append((MATH_PARTS[tag], box, False, level))
+            continue
         if tag == "table":
             rows: list = []
             tables.append(rows)
@@ -312,7 +372,7 @@ def render(root: Node) -> str:
             work += [(c, cell, False, 0) for c in reversed(node.children)]
             continue
         block = tag in BLOCK
-        pre = pre or tag in ("pre", "textarea")
+        pre = pre or tag in ("pre", "textarea", "xmp")
         if block:
             box.end()
             box.gap |= tag in SPACED

@@ -211,6 +211,18 @@ def test_html_open_head():
     assert html_to_text("<head><title>T</title><div>Early</div></head><body>Late") == "Early\nLate"
 
 
+def test_html_shown_elements():
+    assert html_to_text("<p>Area: <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><msup><mi>y</mi><mn>2</mn></msup></mfrac><mspace/><annotation>tex</annotation></math>.") == "Area: x=1/y^2."
+    svg = "<svg><title>no</title><defs/><style/><g>no<path d='M0'/><text x=1>One<tspan> half</tspan></text><text><![CDATA[a<b]]></text></g><defs><text>no</text></defs><foreignObject><div>In</div></foreignObject></svg>"
+    assert html_to_text(f"<p>Fig {svg}<p>After") == "Fig One half a<b\nIn\n\nAfter"
+    assert html_to_text("<svg><path d='M0'><p>Not lost") == "Not lost"
+    assert html_to_text("<svg/><math/>Text") == "Text"
+    assert html_to_text("<map name=m>Go <a href=x>north</a><area alt=no></map>") == "Go north"
+    assert html_to_text("<p>Old<xmp><b>x &amp;\n  y</xmp>new") == "Old\n\n<b>x &amp;\n  y\n\nnew"
+    assert html_to_text("<object data=x><param name=a value=b>In place</object> <canvas>Chart</canvas> <noscript>No <b>script</b></noscript>") == "In place Chart No script"
+    assert html_to_text("<head><noscript><link rel=x></noscript><title>T</title></head><template>a</template><datalist><option>b</datalist><iframe>c</iframe><video>d</video>Seen") == "Seen"
+
+
 def test_string_kernel():
     def brute(s, t, p, decay):
         total = 0.0
