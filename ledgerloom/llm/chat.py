@@ -1,5 +1,5 @@
 """Chat formatting by quotation linking: nested quote levels are parsed, normalised quoted passages are hashed and joined
-to the messages that first said them, and each conversation is laid out in reply order without its quotes.
+to the earlier messages that said them, and each conversation is laid out in reply order without its quotes.
 
 A message's lines carry as many quote levels as they have leading ``>`` marks. Runs of lines of one level are a passage:
 its lines are joined (so that re-wrapped quotes still match), case and blanks are folded, and it is cut into sentences.
@@ -7,7 +7,7 @@ Own text (level 0) gives the sentences that a message can be quoted for; level 1
 are quotes of quotes; they name the reply's ancestors, not its parent, and are used only if level 1 finds nothing.
 
 The parent of a message is the earlier message of its conversation from which it quotes most sentences (the later one of
-equals); without any, the turn before it; the first turn has none. A row a message is returned, numbered depth-first in
+equals), whoever said them first; without any, the turn before it; the first turn has none. A row a message is returned, numbered depth-first in
 reply order, so that a conversation of any length is spread over many tasks; ``formatted`` is its part of the chat text,
 and the parts in order of ``position`` are the conversation's.
 
@@ -32,6 +32,8 @@ _MARKS = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
 _INTRO = re.compile(r"^.{1,200}\b(wrote|schrieb|a écrit|escribió)\s*:\s*$", re.IGNORECASE)
 _SENTENCE = re.compile(r"[^.!?\n]+")
 CHUNK = 4096
+#: A sentence that more turns of its conversation say is not joined to each of them; see ``_votes``.
+HOT = 64
 
 
 def levels(text: str | None) -> list[tuple[int, str]]:
@@ -86,13 +88,13 @@ def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     parsed = messages.select(row, F.col(f"`{text_col}`").alias("text")).mapInArrow(_parsed, schema)
     parsed = scratch.keep(parsed.select(F.col("row").getField(conv_col).cast("long").alias("conv"), F.col("row").getField(turn_col).cast("long").alias("turn"), F.col("row").getField(role_col).cast("string").alias("role"), "row", "own", "said"))
     known = parsed.filter("conv IS NOT NULL AND turn IS NOT NULL")
-    each = known.select("conv", "turn", F.explode("said").alias("s")).select("conv", "turn", "s.level", "s.hash").distinct()
-    # The first message that said a sentence is its original: one row a sentence, so no pairs of equal sentences arise.
-    original = each.filter("level = 0").groupBy("conv", "hash").agg(F.min("turn").alias("by"))
-    linked = each.filter("level > 0").join(original, ["conv", "hash"]).filter("by < turn")
-    votes = linked.groupBy("conv", "turn", "level", "by").agg(F.count("*").alias("n"))
-    quoted = votes.groupBy("conv", "turn").agg(F.max(F.struct((-F.col("level")).alias("near"), "n", "by")).alias("best")).select("conv", "turn", F.col("best.by").alias("by"), F.col("best.n").alias("n"))
     turns = numbered(scratch, known.select("conv", "turn").distinct(), ["conv"], ["turn"], "k")
+    if known.filter("exists(said, s -> s.level > 0)").limit(1).count():
+        votes = _votes(scratch, known, turns)
+        quoted = votes.groupBy("conv", "turn").agg(F.max(F.struct((-F.col("level")).alias("near"), "n", "by")).alias("best"))
+        quoted = scratch.keep(quoted.select("conv", "turn", F.col("best.by").alias("by"), F.col("best.n").alias("n")))
+    else:
+        quoted = known.sparkSession.createDataFrame([], "conv long, turn long, by long, n long")
     before = turns.select("conv", (F.col("k") + 1).alias("k"), F.col("turn").alias("previous"))
     replies = turns.join(before, ["conv", "k"], "left").join(quoted, ["conv", "turn"], "left")
     replies = replies.select("conv", "turn", F.coalesce("by", "previous").alias("reply_to"), F.coalesce("n", F.lit(0)).alias("n_quoted"), F.coalesce(F.col("by") != F.col("previous"), F.lit(False)).alias("jumps"))
@@ -105,6 +107,47 @@ def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     return out.select("row", "conv", "turn", "reply_to", F.coalesce("n_quoted", F.lit(0)).alias("n_quoted"), F.expr("n_path div 2").alias("branch_depth"), "position", F.col("own").alias("own_text"), formatted.alias("formatted"))
 
 
+def _votes(scratch: Scratch, known: DataFrame, turns: DataFrame) -> DataFrame:
+    """(conv, turn, level, by, n): earlier turns ``by`` that said n sentences of what ``turn`` quotes at ``level``; of the
+    turns with most sentences, the latest is among them.
+
+    Sentences of at most HOT sayers are joined to all of these. Of the others, which may be said by every turn, only the
+    different sets that occur in turns are compared with the different sets that are quoted. A turn with a sentence of
+    the first kind gets its number from both; of turns without, the latest one with the best set is all that can win.
+    """
+    each = scratch.keep(known.select("conv", "turn", F.explode("said").alias("s")).select("conv", "turn", "s.level", "s.hash").distinct())
+    quotes = each.filter("level > 0")
+    own = each.filter("level = 0").join(quotes.select("conv", "hash").distinct(), ["conv", "hash"], "left_semi").select("conv", "hash", F.col("turn").alias("by"))
+    sayers = scratch.keep(own.groupBy("conv", "hash").agg((F.count("*") > HOT).alias("hot")))
+    own, quotes = scratch.keep(own.join(sayers, ["conv", "hash"])), scratch.keep(quotes.join(sayers, ["conv", "hash"]))
+    rare = quotes.filter("NOT hot").join(own.filter("NOT hot").drop("hot"), ["conv", "hash"]).filter("by < turn")
+    rare = rare.groupBy("conv", "turn", "level", "by").agg(F.count("*").alias("n"))
+    if not sayers.filter("hot").limit(1).count():
+        return rare
+    said = scratch.keep(own.filter("hot").groupBy("conv", "by").agg(F.array_sort(F.collect_set("hash")).alias("said")))
+    asked = scratch.keep(quotes.filter("hot").groupBy("conv", "turn", "level").agg(F.array_sort(F.collect_set("hash")).alias("asked")))
+    both = F.when(F.col("said").isNull() | F.col("asked").isNull(), 0).otherwise(F.size(F.array_intersect("said", "asked")))
+    rare = rare.join(said, ["conv", "by"], "left").join(asked, ["conv", "turn", "level"], "left").select("conv", "turn", "level", "by", (F.col("n") + both).alias("n"))
+    # The different sets, how many sentences two of them share, and from which turn on such a set is there.
+    sets = said.groupBy("conv", "said").agg(F.min("by").alias("since")).withColumn("hash", F.explode("said"))
+    wanted = asked.select("conv", "asked").distinct().withColumn("hash", F.explode("asked"))
+    shared = scratch.keep(wanted.join(sets, ["conv", "hash"]).groupBy("conv", "asked", "said").agg(F.count("*").alias("n"), F.min("since").alias("since")))
+    steps = shared.groupBy("conv", "asked", "n").agg(F.min("since").alias("since"))
+    most = asked.join(steps, ["conv", "asked"]).filter("since < turn").groupBy("conv", "turn", "level", "asked").agg(F.max("n").alias("n"))
+    options = scratch.keep(most.join(shared, ["conv", "asked", "n"]).filter("since < turn").select("conv", "turn", "level", "n", "said"))
+    # The latest turn before each asking one that said exactly such a set, in chunks of turns.
+    events = said.select("conv", "said", F.col("by").alias("turn"), F.col("by").alias("at"))
+    events = events.union(options.select("conv", "said", "turn", F.lit(None).cast("long")).distinct())
+    events = scratch.keep(events.join(turns, ["conv", "turn"]).withColumn("chunk", F.expr(f"k div {CHUNK}")))
+    chunks = events.groupBy("conv", "said", "chunk").agg(F.max("at").alias("last"))
+    chunks = chunks.withColumn("carried", F.max("last").over(Window.partitionBy("conv", "said").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))).drop("last")
+    earlier = Window.partitionBy("conv", "said", "chunk").orderBy("k").rangeBetween(Window.unboundedPreceding, -1)
+    latest = events.withColumn("before", F.max("at").over(earlier)).filter("at IS NULL").join(chunks, ["conv", "said", "chunk"])
+    latest = latest.select("conv", "said", "turn", F.coalesce("before", "carried").alias("by"))
+    hot = options.join(latest, ["conv", "said", "turn"]).groupBy("conv", "turn", "level", "n").agg(F.max("by").alias("by"))
+    return rare.unionByName(hot)
+
+
 def _paths(scratch: Scratch, replies: DataFrame) -> DataFrame:
     """Of each turn, the path of the run it is in: for each branch on the way from the root, the turn that it leaves and its first turn.
 

@@ -336,3 +336,33 @@ def test_chat(spark):
     order = sorted((r.position, k) for k, r in at.items() if k[0] == 1)
     assert [k[1] for _, k in order] == [0, 3, 4, 1, 2]
     assert all(at[1, r.reply_to].position < r.position for k, r in at.items() if k[0] == 1 and r.reply_to is not None)
+
+
+def test_chat_repeated_sentences(spark, monkeypatch):
+    schema = "conv_id long, turn long, role string, text string"
+
+    def parents(rows):
+        return {(r.conv, r.turn): (r.reply_to, r.n_quoted) for r in chat.format_chats(spark.createDataFrame(rows, schema)).collect()}
+
+    rows = [(1, 0, "a", "Aa. Bb."), (1, 2, "b", "Aa. Bb. Cc."), (1, 3, "a", "Dd."), (1, 4, "a", "> Aa. Bb. Cc.\nYes."), (1, 7, "b", "Dd."), (1, 8, "b", "Ee."), (1, 9, "a", "> Dd.\nNo.")]
+    got = parents(rows)
+    assert got[1, 4] == (2, 3) and got[1, 9] == (7, 1)
+    rnd = random.Random(12)
+    rows = []
+    for conv, n_kinds in ((1, 6), (2, 30)):
+        for turn in range(0, 160, 2):
+            own = ". ".join(f"s{min(rnd.randrange(n_kinds), rnd.randrange(n_kinds))}" for _ in range(rnd.randint(1, 4)))
+            quote = ". ".join(f"s{rnd.randrange(n_kinds)}" for _ in range(rnd.randint(1, 4)))
+            rows.append((conv, turn, "a", (f"{rnd.choice(['>', '>>'])} {quote}.\n" if turn % 3 else "") + f"{own}."))
+    want, n_tied = {}, 0
+    said = {(c, t): [{s for k, s in chat.passages(x)[1] if (k > 0) == quoted} for quoted in (False, True)] for c, t, _, x in rows}
+    for (c, t), (_, asked) in said.items():
+        votes = [(len(own & asked), u) for (d, u), (own, _) in said.items() if d == c and u < t]
+        best = max(votes, default=(0, None))
+        n_tied += sum(n == best[0] > 0 for n, _ in votes) > 1
+        want[c, t] = (best[1] if best[0] else t - 2 if t else None, best[0])
+    assert n_tied > 50
+    for hot, chunk in ((64, 4096), (5, 16), (0, 7)):  # none, some and all sentences are common
+        monkeypatch.setattr(chat, "HOT", hot)
+        monkeypatch.setattr(chat, "CHUNK", chunk)
+        assert parents(rows) == want
