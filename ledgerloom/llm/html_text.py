@@ -14,7 +14,8 @@ foreignObject elements are shown where they stand (not once more for each ``use`
 
 Layout: blocks start on lines of their own, with a blank line around paragraphs, headings, lists, tables and quotes; blanks
 collapse except in pre and textarea; list items get ``- `` or their number, indented by level; the cells of a table are padded
-to their columns' widths (up to ``MAX_PAD``) and parted by `` | ``, spans taken into account. No text is dropped.
+to their columns' widths and parted by `` | ``, spans taken into account; longer lines than ``MAX_PAD`` are wrapped within their
+column if cells follow, but not the rows of inner tables. No text is dropped.
 
 Defined results. Null: null. Empty or without visible text: empty. Not HTML: its text. Any nesting depth works: building and
 layout keep stacks of their own.
@@ -60,8 +61,8 @@ IMPLIED = {
     "tfoot": ({"thead", "tbody", "tfoot", "caption"}, {"table"}),
 }
 MAX_PAD = 40
-#: Cells that a colspan or rowspan may add at most; what a table shows does not depend on it.
-MAX_SPAN = 100
+#: The most columns that a cell spans, as in browsers. A rowspan goes no further than the table has rows.
+MAX_COLSPAN = 1000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.DOTALL)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -213,6 +214,7 @@ class Lines:
         self.now: list[str] = []
         self.gap = False
         self.space = False
+        self.least = 0  # the width of the widest table in it
 
     def put(self, s: str) -> None:
         flat = _SPACE.sub(" ", s)
@@ -264,32 +266,54 @@ def _number(value: str | None, least: int, most: int | None = None) -> int:
     return max(least, n if most is None else min(n, most))
 
 
-def _grid(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
-    """Rows of (lines, colspan, rowspan) as aligned text."""
-    taken: dict[int, int] = {}
-    placed: list[list[tuple[int, int, list[str]]]] = []
-    for row in rows:
-        col, out, used = 0, [], {c: n for c, n in taken.items() if n > 0}
-        taken = {c: n - 1 for c, n in used.items()}
-        for lines, wide, tall in row:
-            while used.get(col, 0) > 0:
+def _wrapped(line: str, room: int) -> list[str]:
+    """Pieces of at most ``room`` characters, cut at blanks where there are some; blanks at cuts go, indents stay."""
+    out: list[str] = []
+    while len(line) > room:
+        cut = line.rfind(" ", 0, room + 1)
+        if not line[: max(cut, 0)].strip(" "):
+            cut = room
+        out.append(line[:cut].rstrip(" "))
+        line = line[cut:].lstrip(" ")
+    return [*out, line] if line or not out else out
+
+
+def _grid(rows: list[list[tuple[list[str], int, int, int]]]) -> list[str]:
+    """Rows of (lines, colspan, rowspan, width of inner tables) as aligned text."""
+    taken: dict[int, int] = {}  # for how many rows more a column is taken
+    placed: list[list[tuple[int, int, list[str], int]]] = []
+    for k, row in enumerate(rows):
+        col, out, used = 0, [], taken
+        taken = {c: n - 1 for c, n in used.items() if n > 1}
+        for lines, wide, tall, least in row:
+            while col in used:
                 col += 1
-            out.append((col, wide, lines))
-            if tall > 1:
+            out.append((col, wide, lines, least))
+            if (tall := min(tall, len(rows) - k)) > 1:
                 for c in range(col, col + wide):
-                    taken[c] = tall - 1
+                    taken[c] = max(taken.get(c, 0), tall - 1)
             col += wide
         placed.append(out)
     width: dict[int, int] = {}
     for row in placed:
-        for col, wide, lines in row:
+        for col, wide, lines, least in row:
             if wide == 1:
                 width[col] = max(width.get(col, 0), min(MAX_PAD, max(map(len, lines), default=0)))
-    n_cols = max((col + wide for row in placed for col, wide, _ in row), default=0)
+    for row in placed:
+        for col, wide, lines, least in row:
+            room = sum(width.get(c, 0) for c in range(col, col + wide)) + 3 * (wide - 1)
+            need = max(min(MAX_PAD, max(map(len, lines), default=0)), least)
+            if room < need:
+                width[col + wide - 1] = width.get(col + wide - 1, 0) + need - room
+    n_cols = max((col + wide for row in placed for col, wide, _, _ in row), default=0)
     out: list[str] = []
     for row in placed:
-        cells = dict((col, (wide, lines)) for col, wide, lines in row)
-        for k in range(max((len(lines) for _, _, lines in row), default=0)):
+        cells = {}
+        for col, wide, lines, least in row:
+            room = sum(width.get(c, 0) for c in range(col, col + wide)) + 3 * (wide - 1)
+            last = col == max(c for c, *_ in row)  # nothing after it to align
+            cells[col] = wide, lines if last else [piece for line in lines for piece in _wrapped(line, room)]
+        for k in range(max((len(lines) for _, lines in cells.values()), default=0)):
             parts, col = [], 0
             while col < n_cols:
                 wide, lines = cells.get(col, (1, []))
@@ -352,7 +376,8 @@ def render(root: Node) -> str:
                 tables.pop()
                 box.end()
                 box.gap = True
-                box.rows(_grid(rows))
+                box.rows(grid := _grid(rows))
+                box.least = max(box.least, max(map(len, grid), default=0))
                 box.gap = True
 
             work.append(finish)
@@ -367,8 +392,8 @@ def render(root: Node) -> str:
             if not tables[-1]:
                 tables[-1].append([])
             cell = Lines()
-            row, wide, tall = tables[-1][-1], _number(node.attrs.get("colspan"), 1, MAX_SPAN), _number(node.attrs.get("rowspan"), 1, MAX_SPAN)
-            work.append(lambda cell=cell, row=row, wide=wide, tall=tall: (cell.end(), row.append((cell.done, wide, tall))))
+            row, wide, tall = tables[-1][-1], _number(node.attrs.get("colspan"), 1, MAX_COLSPAN), _number(node.attrs.get("rowspan"), 1)
+            work.append(lambda cell=cell, row=row, wide=wide, tall=tall: (cell.end(), row.append((cell.done, wide, tall, cell.least))))
             work += [(c, cell, False, 0) for c in reversed(node.children)]
             continue
         block = tag in BLOCK
@@ -397,6 +422,8 @@ def render(root: Node) -> str:
                 inner.end()
                 box.rows([((mark if k == 0 else rest) + line).rstrip() for k, line in enumerate(inner.done)])
                 box.gap |= spaced
+                if inner.least:
+                    box.least = max(box.least, inner.least + len(mark))
 
             work.append(place)
             work += [(c, inner, pre, level) for c in reversed(node.children)]

@@ -223,6 +223,18 @@ def test_html_shown_elements():
     assert html_to_text("<head><noscript><link rel=x></noscript><title>T</title></head><template>a</template><datalist><option>b</datalist><iframe>c</iframe><video>d</video>Seen") == "Seen"
 
 
+def test_html_wide_tables():
+    rows = "".join(f"<tr><td>b{k}" for k in range(1, 150))
+    assert html_to_text(f"<table><tr><td rowspan=150>a<td>b0{rows}</table>").split("\n")[149] == "  | b149"
+    lines = html_to_text(f"<table><tr><td>{'word ' * 20}<td>x<tr><td>short<td>y</table>").split("\n")
+    assert " ".join(line[:40].strip() for line in lines[:-1]) == " ".join(["word"] * 20)
+    assert lines[0][40:] == " | x" and lines[-1] == "short".ljust(40) + " | y"
+    assert html_to_text("<table><tr><td colspan=2>A long heading<td>z<tr><td>a<td>b<td>c</table>") == "A long heading | z\na | b          | c"
+    inner = "<table><tr><td>" + "<td>".join(["a cell"] * 9) + "</table>"
+    assert html_to_text(f"<table><tr><td>{inner}<td>x</table>") == " | ".join([*["a cell"] * 9, "x"])
+    assert html_to_text(f"<table><tr><td>{'word ' * 20}</table>") == " ".join(["word"] * 20)
+
+
 def test_string_kernel():
     def brute(s, t, p, decay):
         total = 0.0
