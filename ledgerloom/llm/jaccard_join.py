@@ -4,21 +4,24 @@ Two documents link when ``100 * |A & B| >= percent * |A | B|`` for their sets of
 
 Plan. (1) Documents are hashed in blocks; equal sets of a block are one row of the matrix from there on. (2) Column blocks
 (bins of n-grams) count each column; a column with one document adds nothing to any product and ends here. (3) By document:
-a partner shares at least ``percent`` of a set's columns, so that documents with fewer shared columns are done; of the
-others, the shared columns are all that later steps need, not the texts. (4) Only the rarest columns of each remaining
-document, as many as a partner cannot miss altogether, enter the product. In each column's list, pairs go on if their
-sizes and their parity sketches (whose distance is at most the sets' symmetric difference) allow enough overlap. (5) The
-overlaps of the pairs are counted exactly on the columns. (6) Links give components.
-
-No pair within a group is taken twice or needlessly: the first round tests only pairs that lie side by side or with a
-pivot in a column, the best few of a document; then columns whose documents are in one component are done, and the last
-round tests every remaining pair of two components. So components are exact, while groups of thousands of near copies
-cost about as many tests as they have members. A column in more than ``HOT`` documents of one block is ordered last, and
-its block sends one entry for it.
+a partner shares at least ``percent`` of a set's columns, so that documents with fewer shared columns are done. Of equal
+sets, one goes on. (4) Rows are put in row blocks of similar documents, by the most common of a few min-hashes. (5) A cell
+is the product of two row blocks: overlap counts are accumulated over column blocks, rare columns sparsely and common ones
+as dense matrices, and a pair is discarded as soon as its sizes and what is left of its rows no longer allow enough
+overlap. What a cell passes on is a spanning forest of its links, never its pairs. (6) Links give components.
+
+Which cells. First each row block with itself and with the first block of its kind, which joins nearly all that can be
+joined. Documents outside of the largest component of their kind are then put in blocks of their own, and all other cells
+follow whose blocks share one of the rarest columns of a document, as many as a partner cannot miss altogether, whose sizes
+allow a link, and that are not within one component already. So components are exact. A group of near copies that are
+linked costs about as many cells as it has blocks; only of documents that are similar but not linked, however many, is
+every pair of blocks multiplied. A column in more than ``HOT`` documents of one hashing block is ordered last, and that block
+sends one entry for it.
 
 Defined results. Null or blank text: set size 0, links with nothing, its own component. Fewer than n words: the whole
-sequence is the one shingle. Null id: size given, component null, no links. Rows that repeat an id stand for one document,
-the one with its smallest text, and all get its result. Hashes are 64 bits within a bin and set signatures 128 bits.
+sequence is the one shingle. Null id: size given, component null, no links. Rows that repeat an id are each judged by their
+own text; a component's or class's id is the smallest of its rows. No rows: no rows. Hashes are 64 bits within a bin and set
+signatures 128 bits.
 """
 
 from __future__ import annotations
@@ -30,15 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, WordHash, bins_of, by_key, mix, pack, packed_rows, partitions, release, spark_xxhash64, text_bytes, total_bytes, unpack
+from .common import LOWER, Scratch, WordHash, bins_of, by_key, mix, pack, packed_rows, partitions, release, slices, spark_xxhash64, text_bytes, total_bytes, unpack, unused
 from .components import components
 
 BLOCK_WORDS = 750_000
 BIN_BYTES = 8 << 20
 HOT = 32
 HOT_DF = 65_535
-MAX_SKETCH = 1024
-BEST = 2
+BLOCK_DOCS = 256
+BLOCK_COLUMNS = 1 << 18
+#: A column of a cell in more rows than this is part of a dense matrix of so many columns.
+DENSE, WIDTH = 16, 2048
+SALTS = np.array([0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x14057B7EF767814F], np.uint64)
 _A, _B = (np.array(x, np.uint64) for x in ([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], [0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xE7037ED1A0B428DB]))
 
 
@@ -181,147 +187,226 @@ def _documents(percent: int):
     return rows
 
 
-def sketch(h: np.ndarray, n: int) -> bytes:
-    """The parity of the number of columns in each of so many cells that similar sets differ in few."""
-    m = min(MAX_SKETCH, 1 << max(6, (n - 1).bit_length() - 1))
-    return np.packbits((np.bincount((h >> np.uint64(20)).astype(np.int64) & (m - 1), minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes()
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All hashes of packed rows, and how many each row has."""
+    data = column.to_pylist()
+    return np.frombuffer(b"".join(data), "<u8"), np.array([len(x) // 8 for x in data], np.int64)
 
 
-def _prefixes(percent: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, n, data in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "columns"))):
-                h = np.frombuffer(data, "<u8")
-                # Columns of one document only come first in the order and are not listed.
-                lone = n - len(h)
-                h, s = h[: n - required(n, percent) + 1 - lone], sketch(h, n)
-                k = len(h)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([i] * k, pa.int64()), pa.array([n] * k, pa.int32()), pa.array([lone] * k, pa.int32()), pa.array([s] * k, pa.binary())], names=["h", "id", "n", "lone", "sketch"])
-
-    return rows
-
-
-def _folded(s: bytes, m: int) -> np.ndarray:
-    bits = np.frombuffer(s, "<u8")
-    while len(bits) > m:
-        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
-    return bits
+def _minhashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, "columns"):
+            h, n = _flat(batch.column("columns"))
+            starts = np.cumsum(n) - n
+            keys = [np.minimum.reduceat(mix(h ^ s), starts).view(np.int64) for s in SALTS]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), *(pa.array(k) for k in keys)], names=["id", "n", *(f"k{j}" for j in range(len(SALTS)))])
 
 
-def _pairs(percent: int, every: bool):
-    """Pairs of a column's list whose sizes and sketches allow a link; ``every``: all of different components."""
-
-    def allowed(n, m, lone_n, lone_m, distance):
-        # Columns that only one of them has, and no other document, are in the difference but not in the sketch.
-        return distance + lone_n + lone_m <= n + m - 2 * overlap_needed(n, m, percent)
+def _prefixes(percent: int):
+    """(h, id) of the rarest columns of each document, so many that a partner has one of them among its own rarest."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, held in by_key(batches, "h"):
-            t = pa.Table.from_batches(held)
-            if len(t) < 2:
-                continue
-            ids, n, lone, comp = (t.column(c).to_numpy() for c in ("id", "n", "lone", "component"))
-            if (comp == comp[0]).all():
-                continue
-            raw = t.column("sketch").to_pylist()
-            width = min(len(s) for s in raw) // 8
-            # Sizes within a list may differ more than those of partners; sketches are folded pair by pair then.
-            bits = np.stack([_folded(s, width) for s in raw])
-            n, lone = n.astype(np.int64), lone.astype(np.int64)
-            a, b = [], []
-            if every:
-                order = np.argsort(n, kind="stable")
-                ids, n, lone, comp, bits = ids[order], n[order], lone[order], comp[order], bits[order]
-                reach = np.searchsorted(n, n * 100 // percent, "right")
-                for i in range(len(ids) - 1):
-                    j = np.arange(i + 1, reach[i])
-                    j = j[comp[j] != comp[i]]
-                    if len(j):
-                        d = np.bitwise_count(bits[j] ^ bits[i]).sum(1).astype(np.int64)
-                        j = j[allowed(n[j], n[i], lone[j], lone[i], d)]
-                        a += [ids[i]] * len(j)
-                        b += ids[j].tolist()
-                dist = [0] * len(a)
-            else:
-                order = np.argsort(mix(ids.view(np.uint64) ^ np.uint64(h & (1 << 64) - 1)))
-                i, j = np.r_[order[:-1], np.full(len(order) - 1, order[0])], np.r_[order[1:], order[1:]]
-                d = np.bitwise_count(bits[i] ^ bits[j]).sum(1).astype(np.int64)
-                ok = allowed(n[i], n[j], lone[i], lone[j], d) & (comp[i] != comp[j])
-                a, b, dist = ids[i[ok]].tolist(), ids[j[ok]].tolist(), d[ok].tolist()
-            if len(a):
-                low, high = np.minimum(a, b), np.maximum(a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(dist, pa.int32())], names=["a", "b", "d"])
+        for whole in batches:
+            for batch in slices(whole, "columns"):
+                h, own = _flat(batch.column("columns"))
+                n = batch.column("n").to_numpy().astype(np.int64)
+                # Columns of one document only come first in the order and are not listed.
+                k = n - required(n, percent) + 1 - (n - own)
+                at = np.arange(len(h)) - np.repeat(np.cumsum(own) - own, own) < np.repeat(k, own)
+                ids = np.repeat(batch.column("id").to_numpy(), own)
+                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(ids[at])], names=["h", "id"])
 
     return rows
 
 
-def _verified(percent: int):
+def product(h: np.ndarray, row: np.ndarray, n: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The linked pairs (row of side 1, row of side 2) of a cell; ``side`` has the bits 1 and 2, n the set sizes.
+
+    ``h`` and ``row``: the incidence, an entry for each shared column of each row."""
+    a, b = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+    na, nb = n[a][:, None], n[b][None, :]
+    alive = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (a[:, None] != b[None, :])
+    if (side == 3).all():
+        alive &= a[:, None] < b[None, :]
+    needed = overlap_needed(na, nb, percent)
+    count = np.zeros(alive.shape, np.int64)
+    o = np.argsort(h, kind="stable")
+    h, row = h[o], row[o]
+    start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    df = np.diff(np.r_[start, len(h)])
+    column = np.repeat(np.arange(len(start)), df)
+    keep = (df > 1)[column]
+    column, row, dfs = column[keep], row[keep], np.repeat(df, df)[keep]
+    place = [np.zeros(len(n), np.int64) for _ in "ab"]
+    place[0][a], place[1][b] = np.arange(len(a)), np.arange(len(b))
+    left = [np.bincount(row, minlength=len(n))[x] for x in (a, b)]  # entries not yet multiplied
+
+    def done(rows: np.ndarray) -> None:
+        gone = np.bincount(rows, minlength=len(n))
+        for k, x in enumerate((a, b)):
+            left[k] -= gone[x]
+
+    def discard() -> None:
+        np.logical_and(alive, count + np.minimum(left[0][:, None], left[1][None, :]) >= needed, out=alive)
+
+    discard()
+    # Rare columns: every entry meets the others of its column, one step apart, two steps apart ...
+    few = dfs <= DENSE
+    c, r = column[few], row[few]
+    for step in range(1, DENSE if alive.any() else 0):
+        meet = np.flatnonzero(c[step:] == c[:-step])
+        if not len(meet):
+            break
+        for x, y in ((r[meet], r[meet + step]), (r[meet + step], r[meet])):
+            ok = (side[x] & 1 > 0) & (side[y] & 2 > 0)
+            np.add.at(count, (place[0][x[ok]], place[1][y[ok]]), 1)
+    done(r)
+    c, r = column[~few], row[~few]
+    c = np.unique(c, return_inverse=True)[1] if len(c) else c
+    for at in range(0, int(c[-1]) + 1 if len(c) else 0, WIDTH):
+        discard()
+        x, y = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
+        if not len(x):
+            break
+        lo, hi = np.searchsorted(c, [at, at + WIDTH])
+        dense = np.zeros((len(n), WIDTH), np.float32)
+        dense[r[lo:hi], c[lo:hi] - at] = 1
+        count[np.ix_(x, y)] += (dense[a[x]] @ dense[b[y]].T).astype(np.int64)  # below 2 ** 24, so exact
+        done(r[lo:hi])
+    i, j = np.nonzero(alive & (count >= needed))
+    return a[i], b[j]
+
+
+def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The smallest row that each of n rows reaches over the links i, j."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _products(percent: int):
+    """Cells: a spanning forest of the links of each."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "ca", "cb"))):
-                o = len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
-                keep.append(100 * o >= percent * (n + m - o))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for _, held in by_key(batches, "cell"):
+            ids, n, side = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("id", "n", "side"))
+            parts = [_flat(b.column("columns")) for b in held]
+            h, own = (np.concatenate(x) for x in zip(*parts))
+            o = np.argsort(ids, kind="stable")
+            rank = np.empty(len(ids), np.int64)
+            rank[o] = np.arange(len(ids))
+            i, j = product(h, np.repeat(rank, own), n[o].astype(np.int64), side[o], percent)
+            root = forest(i, j, len(ids))
+            linked = np.flatnonzero(root != np.arange(len(ids)))
+            if len(linked):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[o][linked]), pa.array(ids[o][root[linked]])], names=["a", "b"])
 
     return rows
 
 
-def _links(pairs: DataFrame, alive: DataFrame, percent: int) -> DataFrame:
-    for x in "ab":
-        pairs = pairs.join(alive.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("columns").alias(f"c{x}")), x)
-    return pairs.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_verified(percent), "a long, b long")
-
-
-def jaccard_components(docs: DataFrame, n_words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, class_id (smallest id with an equal set; null for empty sets) and component_id, for every row."""
-    spark = docs.sparkSession
+def _multiplied(scratch: Scratch, cells: DataFrame, members: DataFrame, alive: DataFrame, percent: int) -> DataFrame:
+    """``cells``: x, y, two blocks; ``members``: id, block. The links (a, b) that span what each cell links."""
+    key = F.xxhash64("x", "y").alias("cell")
+    both = cells.filter("x <> y").select(key, F.explode(F.array(F.struct(F.col("x").alias("block"), F.lit(1).alias("side")), F.struct(F.col("y").alias("block"), F.lit(2).alias("side")))).alias("s"))
+    same = cells.filter("x = y").select(key, F.struct(F.col("x").alias("block"), F.lit(3).alias("side")).alias("s"))
+    rows = both.union(same).select("cell", "s.block", "s.side").join(members.select("id", "block"), "block").join(alive, "id")
+    rows = rows.select("cell", "id", "n", "side", "columns")
+    return scratch.keep(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_products(percent), "a long, b long"))
+
+
+def _in_blocks(docs: DataFrame) -> DataFrame:
+    """``docs``: id, n, kind. Adds block, home (the first block of the kind) and n_blocks (of the kind)."""
+    sizes = docs.groupBy("kind").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_COLUMNS)).alias("n_blocks"))
+    out = docs.join(sizes, "kind")
+    return out.withColumn("block", F.xxhash64("kind", F.pmod(F.xxhash64("id", F.lit(7)), "n_blocks"))).withColumn("home", F.xxhash64("kind", F.lit(0).cast("long")))
+
+
+def linked_components(scratch: Scratch, alive: DataFrame, percent: int) -> DataFrame:
+    """``alive``: id, n, columns (the shared columns' hashes, rarest first). (id, component) of all that have a link."""
+    signs = scratch.keep(alive.mapInArrow(_minhashes, "id long, n int, " + ", ".join(f"k{j} long" for j in range(len(SALTS)))))
+    keys = signs.select("id", "n", F.explode(F.array(*(f"k{j}" for j in range(len(SALTS))))).alias("kind"))
+    common = keys.groupBy("kind").agg(F.count("*").alias("docs"))
+    kinds = keys.join(common, "kind").groupBy("id").agg(F.max(F.struct("docs", "kind")).alias("best"), F.first("n").alias("n"))
+    kinds = kinds.select("id", "n", F.col("best.kind").alias("kind"))
+    members = scratch.keep(_in_blocks(kinds))
+    blocks = members.groupBy("block", "home").agg(F.count("*").alias("docs"))
+    cells = blocks.filter("docs > 1").select(F.col("block").alias("x"), F.col("block").alias("y"))
+    cells = cells.union(blocks.filter("block <> home").select(F.col("home").alias("x"), F.col("block").alias("y")))
+    links = _multiplied(scratch, cells, members, alive, percent)
+    found = components(scratch, links)
+    # What is outside of the largest component of its kind is put in blocks of its own.
+    known = members.select("id", "n", F.col("kind").alias("kind_0"), F.col("n_blocks").alias("n_0")).join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    largest = known.groupBy("kind_0", "component").agg(F.count("*").alias("docs")).groupBy("kind_0").agg(F.max(F.struct("docs", "component")).alias("most")).select("kind_0", "most.component")
+    known = known.join(largest.withColumnRenamed("component", "main"), "kind_0").withColumn("kind", F.xxhash64("kind_0", F.col("component") == F.col("main")))
+    again = scratch.keep(_in_blocks(known.select("id", "n", "kind", "kind_0", "n_0", "component")))
+    facts = again.groupBy("block").agg(F.first("kind_0").alias("kind"), F.first("n_0").alias("n_0"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
+    entries = alive.mapInArrow(_prefixes(percent), "h long, id long").join(again.select("id", "block"), "id").groupBy("h", "block").agg(F.count("*").alias("docs"))
+    entries = scratch.keep(entries.select("h", "block"))
+    wide = entries.groupBy("h").agg(F.count("*").alias("blocks")).filter("blocks > 1").select("h")
+    entries = entries.join(wide, "h")
+    met = entries.withColumnRenamed("block", "x").join(entries.withColumnRenamed("block", "y"), "h").filter("x < y").select("x", "y").distinct()
+    for side in "xy":
+        met = met.join(facts.select(*(F.col(c).alias(f"{c}_{side}" if c != "block" else side) for c in facts.columns)), side)
+    open_ = met.filter("c0_x <> c1_x OR c0_y <> c1_y OR c0_x <> c0_y").filter(f"100 * n1_x >= {percent} * n0_y AND 100 * n1_y >= {percent} * n0_x")
+    open_ = open_.filter("kind_x <> kind_y OR n_0_x > 1")  # a kind of one block has been multiplied with itself
+    within = facts.filter("n_0 > 1 AND c0 <> c1").select(F.col("block").alias("x"), F.col("block").alias("y"))
+    more = _multiplied(scratch, scratch.keep(open_.select("x", "y").union(within)), again, alive, percent)
+    return components(scratch, links.union(more))
+
+
+def _components(texts: DataFrame, n_words: int, percent: int) -> DataFrame:
+    """id, n_shingles, class_id, component_id of ``texts`` (id, text) with different ids, none of them null."""
+    spark = texts.sparkSession
     scratch = Scratch(spark)
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    repeated = texts.filter("id IS NOT NULL").groupBy("id").count().filter("count > 1").select("id")
-    has_repeats = bool(repeated.limit(1).count())
-    alone = texts.filter("id IS NOT NULL")
-    if has_repeats:
-        again = alone.join(repeated, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-        alone = alone.join(repeated, "id", "left_anti").union(again)
-    size = total_bytes(texts, "text")
-    n_parts = n_bins = max(partitions(spark), -(-size // BIN_BYTES))
-    packed = "kind int, part int, data binary"
-    entries = alone.mapInArrow(_incidence(n_words, n_bins, n_parts), packed)
+    n_parts = n_bins = max(partitions(spark), -(-total_bytes(texts, "text") // BIN_BYTES))
+    entries = texts.mapInArrow(_incidence(n_words, n_bins, n_parts), PACKED)
     # Bins have keys from 0; what only passes through has the key -1 - part, and comes first.
     entries = entries.withColumn("key", F.when(F.col("kind") == 0, F.col("part")).otherwise(-1 - F.col("part")))
-    shared = scratch.keep(entries.repartition(n_bins, "key").sortWithinPartitions("key").mapInArrow(_columns(n_parts), packed))
+    shared = scratch.keep(entries.repartition(n_bins, "key").sortWithinPartitions("key").mapInArrow(_columns(n_parts), PACKED))
     del entries
     release(spark)
     members = shared.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(_documents(percent), "id long, n int, s1 long, s2 long, columns binary")
     members = scratch.keep(members)
     scratch.drop(shared)
     release(spark)
-    classes = scratch.keep(members.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("class_id"), F.count("*").alias("n_copies")))
+    classes = scratch.keep(members.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("class_id")))
     alive = members.filter("columns IS NOT NULL").join(classes.select(F.col("class_id").alias("id")), "id", "left_semi").select("id", "n", "columns")
-    alive = scratch.keep(alive)
-    lists = scratch.keep(alive.mapInArrow(_prefixes(percent), "h long, id long, n int, lone int, sketch binary"))
-    links = spark.createDataFrame([], "a long, b long")
-    found = components(scratch, links)
-    for every in (False, True):
-        known = found.withColumnRenamed("component", "known")
-        now = lists.join(known, "id", "left").withColumn("component", F.coalesce("known", "id")).drop("known")
-        pairs = now.repartition("h").sortWithinPartitions("h").mapInArrow(_pairs(percent, every), "a long, b long, d int")
-        pairs = pairs.groupBy("a", "b").agg(F.min("d").alias("d"))
-        if not every:  # the best few of each document
-            pairs = scratch.keep(pairs)
-            ends = pairs.select(F.col("a").alias("x"), "*").union(pairs.select(F.col("b").alias("x"), "*"))
-            best = ends.groupBy("x").agg(*(F.min(F.struct("d", F.xxhash64("a", "b", F.lit(k)), "a", "b")).alias(f"p{k}") for k in range(BEST)))
-            pairs = best.select(F.explode(F.array(*(f"p{k}" for k in range(BEST)))).alias("p")).select("p.a", "p.b").distinct()
-        new = _links(pairs.select("a", "b"), alive, percent)
-        links = scratch.keep(links.union(new))
-        found = components(scratch, links)
+    found = linked_components(scratch, scratch.keep(alive), percent)
     by_class = classes.join(found.withColumnRenamed("id", "class_id"), "class_id", "left").select("n", "s1", "s2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     keyed = members.select("id", "n", "s1", "s2").join(by_class, ["n", "s1", "s2"], "left")
-    result = keyed.select("id", F.col("n").cast("long").alias("n_shingles"), "class_id", F.coalesce("component_id", "id").alias("component_id"))
-    if has_repeats:
-        result = texts.filter("id IS NOT NULL").select("id").join(result, "id")
-    nameless = texts.filter("id IS NULL").select(F.lit(-1).cast("long").alias("id"), "text").mapInArrow(_incidence(n_words, 1, 1), packed)
+    return keyed.select("id", F.col("n").cast("long").alias("n_shingles"), "class_id", F.coalesce("component_id", "id").alias("component_id"))
+
+
+PACKED = "kind int, part int, data binary"
+
+
+def repeats(ids: DataFrame) -> bool:
+    """Whether an id occurs twice."""
+    return bool(ids.filter("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").limit(1).count())
+
+
+def jaccard_components(docs: DataFrame, n_words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, class_id (smallest id with an equal set; null for empty sets) and component_id, for every row."""
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    named = texts.filter("id IS NOT NULL")
+    if not repeats(named):
+        result = _components(named, n_words, percent)
+    else:  # rows get keys of their own; each class and component is then named by its smallest id
+        rows = Scratch(docs.sparkSession).keep(named.withColumn("key", F.monotonically_increasing_id()))
+        result = _components(rows.select(F.col("key").alias("id"), "text"), n_words, percent).withColumnRenamed("id", "key")
+        result = Scratch(docs.sparkSession).keep(result.join(rows.select("key", "id"), "key"))
+        for c in ("class_id", "component_id"):
+            result = result.join(result.filter(f"{c} IS NOT NULL").groupBy(c).agg(F.min("id").alias(f"{c}_")), c, "left")
+        result = result.select("id", "n_shingles", F.col("class_id_").alias("class_id"), F.col("component_id_").alias("component_id"))
+    nameless = texts.filter("id IS NULL").select(F.lit(-1).cast("long").alias("id"), "text").mapInArrow(_incidence(n_words, 1, 1), PACKED)
     sizes = nameless.filter("kind = 2").mapInArrow(_sizes, "id long, n_shingles long, class_id long, component_id long")
     return result.union(sizes)
 
@@ -336,17 +421,20 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def one_of_each(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", most: int = 4_000_000) -> DataFrame:
-    """The rows of ``docs`` but for those that can reach a document with a smaller id; of rows that repeat an id, one stays,
-    and rows without an id all stay. The ids that go are spread to the texts if there are at most ``most``, else joined."""
+    """One row of each component: the one with the smallest id, whichever row that is if several have it. Rows without an id
+    all stay. The ids that go are spread to the texts if there are at most ``most``, else joined."""
     scratch = Scratch(docs.sparkSession)
-    ids = scratch.keep(jaccard_components(docs, n_words, percent, id_col, text_col).filter("id IS NOT NULL").select("id", "component_id"))
-    gone = ids.filter("id <> component_id").select("id").distinct()
-    key = F.col(f"`{id_col}`")
+    key = unused("row_key", docs.columns)
+    ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"))
+    if repeats(ids):  # rows are judged by keys of their own, in the order of their ids
+        docs = scratch.keep(docs.withColumn(key, F.monotonically_increasing_id()))
+    else:
+        docs = docs.withColumn(key, F.col(f"`{id_col}`").cast("long"))
+    named = docs.filter(F.col(f"`{id_col}`").isNotNull())
+    found = _components(named.select(F.col(key).alias("id"), F.col(f"`{text_col}`").alias("text")), n_words, percent)
+    found = scratch.keep(found.join(named.select(F.col(key).alias("id"), F.col(f"`{id_col}`").alias("name")), "id").select("id", "name", "component_id"))
+    stays = found.groupBy("component_id").agg(F.min(F.struct("name", "id")).alias("first"))
+    gone = scratch.keep(found.join(stays, "component_id").filter(F.col("id") != F.col("first.id")).select(F.col("id").alias(key)))
     if gone.count() <= most:
         gone = F.broadcast(gone)
-    kept = docs.join(gone.withColumnRenamed("id", "_gone"), key == F.col("_gone"), "left_anti")
-    again = scratch.keep(ids.groupBy("id").count().filter("count > 1").select(F.col("id").alias("_again")))
-    if again.limit(1).count():
-        once = kept.join(again, key == F.col("_again"), "left_semi").dropDuplicates([id_col])
-        kept = kept.join(again, key == F.col("_again"), "left_anti").union(once)
-    return kept
+    return docs.filter(F.col(f"`{id_col}`").isNull()).drop(key).union(named.join(gone, key, "left_anti").drop(key))
