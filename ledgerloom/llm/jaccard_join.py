@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, WordHash, bins_of, by_key, mix, pack, packed_rows, partitions, release, slices, spark_xxhash64, text_bytes, total_bytes, unpack, unused
+from .common import LOWER, Scratch, WordHash, bins_of, by_key, mix, pack, packed_rows, partitions, release, repeats, slices, spark_xxhash64, text_bytes, total_bytes, unpack, unused
 from .components import components
 
 BLOCK_WORDS = 750_000
@@ -388,11 +388,6 @@ def _components(texts: DataFrame, n_words: int, percent: int) -> DataFrame:
 PACKED = "kind int, part int, data binary"
 
 
-def repeats(ids: DataFrame) -> bool:
-    """Whether an id occurs twice."""
-    return bool(ids.filter("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").limit(1).count())
-
-
 def jaccard_components(docs: DataFrame, n_words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, class_id (smallest id with an equal set; null for empty sets) and component_id, for every row."""
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))

@@ -44,16 +44,23 @@ def best_boundaries(lengths: np.ndarray, counts: np.ndarray, k: int) -> list[int
     return out[::-1]
 
 
-def pack_buckets(docs: DataFrame, k: int = 16, max_len: int = 4096, budget: int = 65_536, id_col: str = "doc_id", text_col: str = "text", length: Column | None = None) -> DataFrame:
-    """id, piece, start, n_tokens, bucket, boundary (the length that its rows are padded to), batch, row (within the batch)."""
+def pack_buckets(docs: DataFrame, k: int = 16, max_len: int = 4096, budget: int = 65_536, id_col: str = "doc_id", text_col: str = "text", length: Column | None = None, with_text: bool = False) -> DataFrame:
+    """id, piece, start, n_tokens, bucket, boundary (the length that its rows are padded to), batch, row (within the batch);
+    ``with_text``, for lengths in words only, adds the piece's text: a document of one piece as it is, else the words."""
     if not 0 < max_len <= budget:
         raise ValueError("max_len must be between 1 and the budget")
     scratch = Scratch(docs.sparkSession)
     n = F.coalesce(length if length is not None else F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    pieces = docs.select(F.col(f"`{id_col}`").alias("id"), n.alias("n"))
-    pieces = pieces.select("id", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.expr(f"(n - 1) div {max_len}"), F.lit(0)).cast("int"))).alias("piece"))
+    if with_text and length is not None:
+        raise ValueError("pieces have texts only if lengths are in words")
+    text = [F.col(f"`{text_col}`").alias("text")] if with_text else []
+    pieces = docs.select(F.col(f"`{id_col}`").alias("id"), n.alias("n"), *text)
+    pieces = pieces.select(*pieces.columns, F.explode(F.sequence(F.lit(0), F.greatest(F.expr(f"(n - 1) div {max_len}"), F.lit(0)).cast("int"))).alias("piece"))
     start = F.col("piece").cast("long") * max_len
-    pieces = scratch.keep(pieces.select("id", "piece", start.alias("start"), F.least(F.col("n") - start, F.lit(max_len)).cast("int").alias("n_tokens")))
+    if with_text:
+        part = F.slice(F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)), (start + 1).cast("int"), F.lit(max_len))
+        text = [F.when(F.col("n") <= max_len, F.col("text")).otherwise(F.array_join(part, " ")).alias("text")]
+    pieces = scratch.keep(pieces.select("id", "piece", start.alias("start"), F.least(F.col("n") - start, F.lit(max_len)).cast("int").alias("n_tokens"), *text))
     histogram = pieces.groupBy("n_tokens").count().toPandas()  # max_len + 1 rows at most
     bounds = best_boundaries(histogram["n_tokens"].to_numpy(), histogram["count"].to_numpy(), k) if len(histogram) else [0]
     bucket, boundary, each = F.lit(0), F.lit(bounds[0]), F.lit(budget // max(bounds[0], 1))
@@ -62,4 +69,4 @@ def pack_buckets(docs: DataFrame, k: int = 16, max_len: int = 4096, budget: int
         bucket, boundary, each = F.when(above, b).otherwise(bucket), F.when(above, upper).otherwise(boundary), F.when(above, budget // upper).otherwise(each)
     pieces = pieces.select("*", bucket.alias("bucket"), boundary.alias("boundary"), each.alias("each"))
     out = numbered(scratch, pieces, ["bucket"], ["id", "piece"], "slot")
-    return out.select("id", "piece", "start", "n_tokens", "bucket", "boundary", F.expr("slot div each").alias("batch"), F.expr("cast(slot % each as int)").alias("row"))
+    return out.select("id", "piece", "start", "n_tokens", "bucket", "boundary", F.expr("slot div each").alias("batch"), F.expr("cast(slot % each as int)").alias("row"), *(["text"] if with_text else []))
