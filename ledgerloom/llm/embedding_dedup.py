@@ -5,14 +5,17 @@ the threshold. Only vectors with equal labels are compared, by cosine in double
 Plan. (1) Equal vectors of a label are one node with a weight. (2) A few random-hyperplane orders give first neighbours.
 (3) A round: around each node, its neighbours and those that have it as one meet in groups of at most ``CHUNK``, compare
 new with all, and pass on what improves a list; lists keep their best ``k``, or twice their links if they are full of
-links. Rounds end when less than a thousandth of the entries changed. (4) Links give components; inside a component, all
-pairs are compared in blocks, so that numbers of links are exact there. (5) The audit compares ``n_audit`` vectors (the
-smallest hashes) with all of their labels by brute force; while less than ``recall`` of their links lie within components,
-rounds go on from other hyperplanes and with longer lists.
+links, and such a list takes links only. What is linked already, directly or through others, is not compared again, so
+that lists within a large group stay short. Rounds end when less than a thousandth of the entries changed. (4) Links give
+components; inside a component, all pairs are compared in blocks as matrix products that pass on one count a row, so that
+numbers of links are exact there. (5) The audit compares ``n_audit`` vectors (the smallest hashes; more, until they have
+``MIN_LINKS`` links) with all of their labels by brute force; a link counts as found if it lies within a component, as (4)
+finds it then. While less than ``recall`` are found, rounds go on from other hyperplanes and with longer lists.
 
 Defined results. Null, zero, or with null or non-finite components, or without a label: 0 links, its own component, kept.
-Vectors of other lengths than the first one's link with nothing. Rows that repeat an id count as vectors of their own, and
-their ids' component is the smallest id. Null ids: like other vectors without links, component null, kept.
+Vectors of other lengths than the first one's link with nothing. Rows that repeat an id count as vectors of their own, each
+with the links of its own vector; components are named by their smallest id, and a row is kept if its id is that. Null ids:
+like other vectors without links, component null, kept. No rows: no rows, and a recall of 1.
 """
 
 from __future__ import annotations
@@ -24,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_key, numbered, partitions, release
+from .common import Scratch, by_key, numbered, partitions, release, repeats
 from .components import components
 
 CHUNK = 64
 BLOCK = 256
 PLANES = 30
+MIN_LINKS = 200
+MOST_AUDITED = 16_000
 
 
 def _valid(seed: int, n_orders: int):
@@ -97,14 +102,14 @@ def _adjacent(reach: int):
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members that met around a node: pairs with a new one that improve the list of either."""
+    """Members that met around a node: pairs with a new one that are not linked yet and improve the list of either."""
     for _, held in by_key(batches, "key"):
         m = _matrix(held)
-        ids, new, low = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("member", "new", "low"))
+        ids, new, low, group = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("member", "new", "low", "component"))
         sim = m @ m.T
         i, j = np.triu_indices(len(ids), 1)
         s = sim[i, j]
-        ok = (new[i] | new[j]) & ((s > low[i]) | (s > low[j])) & (ids[i] != ids[j])
+        ok = (new[i] | new[j]) & ((s > low[i]) | (s > low[j])) & (group[i] != group[j])
         if ok.any():
             yield _edges(ids[i[ok]], ids[j[ok]], s[ok])
 
@@ -116,10 +121,12 @@ def _lists(edges: DataFrame, k: int, threshold: float) -> DataFrame:
     ranked = best.withColumn("r", F.row_number().over(of.orderBy(F.desc("sim"), "u"))).withColumn("links", F.sum((F.col("sim") >= threshold).cast("int")).over(of))
     room = F.when(F.col("links") >= k, 2 * F.col("links")).otherwise(k)
     kept = ranked.withColumn("room", room).filter("r <= room")
-    return kept.withColumn("low", F.when(F.count("*").over(of) >= F.col("room"), F.min("sim").over(of)).otherwise(-2.0)).drop("r", "links", "room")
+    low = F.when(F.count("*").over(of) >= F.col("room"), F.min("sim").over(of)).otherwise(-2.0)
+    below = float(np.nextafter(threshold, -1))
+    return kept.withColumn("low", F.when(F.col("links") >= k, F.greatest(low, F.lit(below))).otherwise(low)).drop("r", "links", "room")
 
 
-def _round(scratch: Scratch, lists: DataFrame, nodes: DataFrame, k: int, threshold: float, seed: int) -> DataFrame:
+def _round(scratch: Scratch, lists: DataFrame, nodes: DataFrame, linked: DataFrame, k: int, threshold: float, seed: int) -> DataFrame:
     lows = lists.groupBy("v").agg(F.max("low").alias("low"))
     met = lists.select(F.col("v").alias("c"), F.col("u").alias("member"), "new").union(lists.select(F.col("u").alias("c"), F.col("v").alias("member"), "new"))
     met = met.groupBy("c", "member").agg(F.max("new").alias("new"))
@@ -128,7 +135,8 @@ def _round(scratch: Scratch, lists: DataFrame, nodes: DataFrame, k: int, thresho
     group = F.pmod(F.xxhash64("member", F.lit(seed)), F.ceil(F.col("n") / CHUNK))
     met = met.select(F.xxhash64("c", group).alias("key"), "member", "new")
     vectors = nodes.select(F.col("id").alias("member"), "vec").join(lows.withColumnRenamed("v", "member"), "member", "left").withColumn("low", F.coalesce("low", F.lit(-2.0)))
-    met = met.join(vectors, "member").select("key", "member", "new", "low", "vec")
+    vectors = vectors.join(linked.withColumnRenamed("id", "member"), "member", "left").withColumn("component", F.coalesce("component", "member"))
+    met = met.join(vectors, "member").select("key", "member", "new", "low", "component", "vec")
     found = met.repartition("key").sortWithinPartitions("key").mapInArrow(_compared, EDGES)
     both = lists.select("v", "u", "sim", F.lit(False).alias("new")).union(found.withColumn("new", F.lit(True)))
     return scratch.keep(_lists(both, k, threshold))
@@ -187,17 +195,45 @@ def embedding_components(
     vectors: DataFrame, threshold: float = 0.98, k: int = 10, n_orders: int = 4, recall: float = 0.99, n_audit: int = 1000, max_rounds: int = 12, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label"
 ) -> tuple[DataFrame, float]:
     """(id, n_links, component_id, kept) of every row, and the audited recall."""
-    spark = vectors.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(vectors.sparkSession)
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("long").alias("label"), F.col(f"`{vec_col}`").alias("x"))
-    usable = rows.filter("id IS NOT NULL AND label IS NOT NULL AND x IS NOT NULL")
+    again = repeats(rows)
+    if again:  # each row is a vector of its own, under a key of its own
+        rows = scratch.keep(rows.withColumn("key", F.monotonically_increasing_id()))
+    keyed = rows.withColumn("name", F.col("id")).withColumn("id", F.col("key") if again else F.col("id"))
+    usable = keyed.filter("name IS NOT NULL AND label IS NOT NULL AND x IS NOT NULL").select("id", "label", "x")
+    linked, reached = _linked(scratch, usable, threshold, k, n_orders, recall, n_audit, max_rounds)
+    out = keyed.select("id", "name").join(linked, "id", "left").select("id", "name", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    if again:
+        out = scratch.keep(out)
+        names = out.filter("name IS NOT NULL").groupBy("component_id").agg(F.min("name").alias("smallest"))
+        out = out.join(names, "component_id", "left").withColumn("component_id", F.col("smallest"))
+    out = out.select(F.col("name").alias("id"), "n_links", "component_id")
+    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))), reached
+
+
+def _audit(scratch: Scratch, nodes: DataFrame, found: DataFrame, threshold: float, n: int) -> float:
+    """The share of the audited vectors' links that lie within components."""
+    while True:
+        audit = nodes.orderBy(F.xxhash64("id"), "id").limit(n).select("id", "label", "dim", "vec").collect()
+        true = scratch.keep(nodes.mapInArrow(_brute([tuple(r) for r in audit], threshold), "a long, b long"))
+        ends = [found.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
+        hit = F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)).cast("int")
+        judged = true.join(ends[0], "a", "left").join(ends[1], "b", "left").agg(F.count("*").alias("n"), F.sum(hit).alias("hit")).first()
+        if judged.n >= MIN_LINKS or len(audit) < n or n >= MOST_AUDITED:
+            return judged.hit / judged.n if judged.n else 1.0
+        n *= 4
+
+
+def _linked(scratch: Scratch, usable: DataFrame, threshold: float, k: int, n_orders: int, recall: float, n_audit: int, max_rounds: int) -> tuple[DataFrame, float]:
+    """(id, n_links, component_id) of the valid ones of ``usable`` (id, label, x; ids differ), and the audited recall."""
+    spark = usable.sparkSession
     links = spark.createDataFrame([], "a long, b long")
     lists, reached = None, 0.0
     for attempt in range(3):
         valid = scratch.keep(usable.mapInArrow(_valid(attempt, n_orders), "id long, label long, dim int, vec binary, codes array<long>"))
-        same = valid.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
-        same = scratch.keep(same)
-        nodes = scratch.keep(valid.join(same.groupBy("rep").agg(F.count("*").alias("x")).select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]))
+        same = scratch.keep(valid.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("weight")))
+        nodes = scratch.keep(valid.join(same.select(F.col("rep").alias("id")), "id", "left_semi"))
         first = None if lists is None else lists.select("v", "u", "sim", F.lit(False).alias("new"))
         for t in range(n_orders):
             code = F.col("codes")[t]
@@ -205,30 +241,34 @@ def embedding_components(
             near = near.select("id", "label", "dim", "vec").mapInArrow(_adjacent(4 + 4 * attempt), EDGES).withColumn("new", F.lit(True))
             first = near if first is None else first.union(near)
         size = k * (1 + attempt)
-        lists = scratch.keep(_lists(first, size, threshold))
+        # All links that were seen count, whether or not a list has room for them.
+        seen = scratch.keep(first.groupBy("v", "u").agg(F.max("sim").alias("sim"), F.min("new").alias("new")))
+        lists = scratch.keep(_lists(seen, size, threshold))
+        links = scratch.keep(links.union(_links(seen, threshold)).distinct())
+        found = components(scratch, links)
         for r in range(max_rounds):
             state = lists.agg(F.count("*").alias("n"), F.sum(F.col("new").cast("int")).alias("new")).first()
             if (state.new or 0) <= state.n / 1000:
                 break
-            new = _round(scratch, lists, nodes, size, threshold, 100 * attempt + r)
+            new = _round(scratch, lists, nodes, found, size, threshold, 100 * attempt + r)
             scratch.drop(lists)
             lists = new
+            fresh = scratch.keep(_links(lists.filter("new"), threshold).join(links, ["a", "b"], "left_anti"))
+            if fresh.limit(1).count():
+                links = scratch.keep(links.union(fresh))
+                found = components(scratch, links)
             release(spark)
-        links = scratch.keep(links.union(lists.filter(F.col("sim") >= threshold).select(F.col("v").alias("a"), F.col("u").alias("b")).filter("a > b")).distinct())
-        found = components(scratch, links)
-        audit = nodes.orderBy(F.xxhash64("id"), "id").limit(n_audit).select("id", "label", "dim", "vec").collect()
-        true = scratch.keep(nodes.mapInArrow(_brute([tuple(r) for r in audit], threshold), "a long, b long"))
-        ends = [found.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
-        judged = true.join(ends[0], "a", "left").join(ends[1], "b", "left").agg(F.count("*").alias("n"), F.sum((F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).cast("int")).alias("hit")).first()
-        reached = judged.hit / judged.n if judged.n else 1.0
+        reached = _audit(scratch, nodes, found, threshold, n_audit)
         if reached >= recall:
             break
     found = scratch.keep(found)
-    members = nodes.join(found, "id").join(same.groupBy(F.col("rep").alias("id")).agg(F.max("weight").alias("weight")), "id").select("component", "id", "weight", "vec")
+    members = nodes.join(found, "id").join(same.select(F.col("rep").alias("id"), "weight"), "id").select("component", "id", "weight", "vec")
     degrees = exact_degrees(scratch, members, threshold)
     # Every copy has its node's links, and besides, the other copies.
     each = same.join(found.withColumnRenamed("id", "rep"), "rep", "left").join(degrees.withColumnRenamed("id", "rep"), "rep", "left")
     each = each.select("label", "vec", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = valid.select("id", "label", "vec").join(each, ["label", "vec"]).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    out = rows.select("id").join(linked, "id", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))), reached
+    return valid.select("id", "label", "vec").join(each, ["label", "vec"]).select("id", "n_links", "component_id"), reached
+
+
+def _links(entries: DataFrame, threshold: float) -> DataFrame:
+    return entries.filter(F.col("sim") >= threshold).select(F.greatest("v", "u").alias("a"), F.least("v", "u").alias("b")).distinct()

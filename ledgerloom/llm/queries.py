@@ -20,7 +20,9 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embedding_dedup import embedding_components
 
-    out, _ = embedding_components(_table(spark, sf_dir, "embeddings"))
+    out, recall = embedding_components(_table(spark, sf_dir, "embeddings"))
+    if recall < 0.9:  # rather no result than one that lacks links
+        raise RuntimeError(f"the audited recall of links is {recall:.3f}, under 0.9")
     return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
 
 
