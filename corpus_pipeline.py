@@ -1,7 +1,12 @@
 """From raw documents to packed batches: quality, near duplicates, repeated passages, benchmark leaks, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it has kept; ``run`` writes each result as
-Parquet in the shared folder and reads it again for the next. All but the last return the columns of ``documents``.
+Parquet in the shared folder and reads it again for the next. All but the last return the columns of ``documents``; the
+last returns the texts that are left, cut in pieces and batched.
+
+In every stage: null, empty and blank texts pass as they are (they are no one's duplicates and overlap with nothing). Rows
+that repeat an id are judged one by one, and rows without an id stay, with their texts as they are. Other columns are
+carried unread. An empty table gives an empty one, and ties go by the smallest id.
 """
 
 from __future__ import annotations
@@ -18,13 +23,15 @@ from ledgerloom.llm.substring_dedup import substring_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity is within their language's limit."""
+    """Documents whose perplexity is within their language's limit. Without trusted texts, all stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return score_quality(docs, trusted_rows(docs, labels)).filter("keep").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id: five-word shingles, similarity 0.8."""
+    """One document of each group of near duplicates, the one with the smallest id: five-word shingles, similarity 0.8.
+
+    Texts of equal words are such a group too; blank ones are not."""
     return one_of_each(docs, n_words=5, percent=80)
 
 
@@ -37,15 +44,15 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with no benchmark item."""
+    """Documents that overlap with no benchmark item. An empty benchmark leaves all."""
     found = find_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     clean = found.filter("coalesce(size(overlaps), 0) <= 0")
     return clean.select(*((F.col("text") if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in batches of optimal length buckets."""
-    return pack_buckets(docs).withColumnRenamed("id", "doc_id")
+    """Pieces of documents, with their texts, in batches of optimal length buckets. Blank texts are pieces of length 0."""
+    return pack_buckets(docs, with_text=True).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("decontaminated", decontaminated), ("packed", packed)]
