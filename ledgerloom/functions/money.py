@@ -23,7 +23,7 @@ def parse_amount(text: Column) -> Column:
 
 def whole_coins(sats: Column) -> Column:
     """Whole coins, truncated towards zero."""
-    return (sats - sats % COIN) / COIN
+    return F.call_function("div", sats, F.lit(COIN))
 
 
 def format_amount(sats: Column) -> Column:

@@ -8,8 +8,9 @@ import re
 DEFAULT_PAGE, MAX_PAGE = 25, 100
 _HASH = re.compile(r"[0-9a-f]{64}")
 _DIGITS = re.compile(r"[0-9]+")
-_ADDRESS = re.compile(r"[0-9A-Za-z]{1,100}")
-_NAME = re.compile(r"[0-9A-Za-z_\-]{1,64}")
+# The longest address, and the longest deployment name, which is all that its writer asks of a name.
+_ADDRESS = re.compile(r"[!-~]{1,128}")
+MAX_NAME = 128
 
 
 class BadRequest(ValueError):
@@ -29,7 +30,7 @@ def is_address(text: str) -> bool:
 
 
 def is_name(text: str) -> bool:
-    return bool(_NAME.fullmatch(text))
+    return 0 < len(text.encode()) <= MAX_NAME
 
 
 def height(text: str | int) -> int:

@@ -135,7 +135,15 @@ GROUP BY bucket_id HAVING sum(n) <> 0 OR sum(s) <> 0""",
     "script_witness_programs": sql("outputs", f"SELECT txid, vout_index, {_KIND} AS script_type, {_VERSION} AS witness_version, substr(script_hex, 5) AS witness_program FROM outputs WHERE script_hex LIKE '0014%' OR script_hex LIKE '5220%'"),
     "witness_metadata": sql("outputs", f"SELECT {_KIND} AS script_type, count(*) AS n_ok, count(*) FILTER (WHERE {_VERSION} IS NULL) AS n_ok_cut FROM outputs GROUP BY 1"),
     "unspendable_outputs": sql("outputs", "SELECT txid, vout_index, value_satoshis, CAST(length(script_hex) // 2 AS INT) AS size_bytes FROM outputs WHERE script_hex LIKE '6a%'"),
-    "identifier_search": sql("blocks transactions", "SELECT id, kind FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY r) AS k FROM (SELECT hash AS id, 1 AS r, 'block' AS kind FROM blocks UNION ALL SELECT txid, 2, 'transaction' FROM transactions UNION ALL SELECT wtxid, 3, 'variant' FROM transactions) x WHERE id LIKE 'ab%') y WHERE k = 1"),
+    "identifier_search": sql(
+        "blocks transactions mempool",
+        """SELECT id, kind FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY r) AS k FROM (
+  SELECT hash AS id, 1 AS r, 'block' AS kind FROM blocks
+  UNION ALL SELECT txid, 2, 'transaction' FROM transactions
+  UNION ALL SELECT wtxid, 3, 'variant' FROM transactions
+  UNION ALL SELECT txid, 4, 'mempool transaction' FROM mempool
+  UNION ALL SELECT wtxid, 5, 'mempool variant' FROM mempool) x) y WHERE k = 1""",
+    ),
     "subsidy_by_height": f"SELECT height, CAST({SUBSIDY.format(MAIN)} AS BIGINT) AS main, CAST({SUBSIDY.format(REGTEST)} AS BIGINT) AS regtest FROM (SELECT o_orderkey * 37 % 20000000 AS height FROM orders) x",
     "scheduled_subsidy": "SELECT height, "
     + ", ".join(f"(SELECT CAST(sum(greatest(0, least(x.height + 1 - e * {n}, {n})) * ({INITIAL} >> CAST(e AS INT))) AS BIGINT) FROM range(0, 64) r(e)) AS {name}" for n, name in ((MAIN, "main_total"), (REGTEST, "regtest_total")))
@@ -147,7 +155,7 @@ GROUP BY bucket_id HAVING sum(n) <> 0 OR sum(s) <> 0""",
     "mempool_state": sql("mempool", "SELECT count(*) AS tx_count, CAST(sum(vsize) AS BIGINT) AS total_vsize, CAST(sum(fee_satoshis) AS BIGINT) AS total_fee_satoshis FROM mempool"),
     "mempool_page": sql("mempool", "SELECT txid, entry_time, fee_satoshis, vsize, replaceable, CASE WHEN replaceable IS NULL THEN 'unknown' WHEN replaceable THEN 'yes' ELSE 'no' END AS replaceable_label, concat(strftime(make_timestamp(entry_time * 1000000), '%Y-%m-%d %H:%M:%S'), ' UTC') AS entered FROM mempool WHERE (entry_time, txid) < ((SELECT min(entry_time) + (max(entry_time) - min(entry_time)) // 2 FROM mempool), 'f') ORDER BY entry_time DESC, txid DESC LIMIT 100"),
     "mempool_dependencies": sql("mempool depends", "SELECT d.txid, d.depends_on_txid, EXISTS (SELECT 1 FROM mempool m WHERE m.txid = d.depends_on_txid AND m.event_id % 7 <> 3) AS inside, 'mempool' AS kind FROM depends d"),
-    "mempool_freshness": sql("blocks", "SELECT height, CASE WHEN height % 3 = 0 THEN 'uninitialized' WHEN height = (SELECT max(height) FROM blocks WHERE canonical) THEN 'fresh' ELSE 'stale' END AS state FROM blocks WHERE canonical AND height >= 990"),
+    "mempool_freshness": sql("blocks", "SELECT height, CASE WHEN height % 3 = 0 THEN 'uninitialized' WHEN height = (SELECT max(height) FROM blocks WHERE canonical) THEN 'fresh' ELSE 'stale' END AS state FROM blocks WHERE canonical"),
     "deployment_decode": """SELECT concat('d', event_id) AS name, string_agg(rule, ',' ORDER BY rule) AS broken FROM (
   SELECT event_id, 'type' AS rule FROM events WHERE event_id % 11 = 0
   UNION ALL SELECT event_id, 'buried has a height' FROM events WHERE event_id % 11 = 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -312,12 +313,13 @@ def unspendable_outputs(g):
     return g.outputs.filter(is_unspendable(F.col("script_pubkey"))).select("txid", "vout_index", "value_satoshis", F.octet_length("script_pubkey").alias("size_bytes"))
 
 
-@over_ledger
-def identifier_search(g):
-    """What each id that starts with ``ab`` is: block, transaction or variant; a transaction wins over its variant."""
-    found = g.blocks.select(F.col("hash").alias("id"), F.lit(1).alias("rank"), F.lit("block").alias("kind"))
-    found = found.union(g.transactions.select("txid", F.lit(2), F.lit("transaction"))).union(g.transactions.select("wtxid", F.lit(3), F.lit("variant")))
-    return found.filter("id LIKE 'ab%'").groupBy("id").agg(F.min_by("kind", "rank").alias("kind"))
+@over_tables
+def identifier_search(spark, sf_dir):
+    """What each id is: block, transaction or variant, confirmed before unconfirmed; a transaction wins over its variant."""
+    g, mempool_ = ledger(spark, sf_dir), P.stored(spark, sf_dir).table("mempool")
+    places = [(g.blocks, "hash", "block"), (g.transactions, "txid", "transaction"), (g.transactions, "wtxid", "variant"), (mempool_, "txid", "mempool transaction"), (mempool_, "wtxid", "mempool variant")]
+    found = [t.select(F.col(c).alias("id"), F.lit(k).alias("rank"), F.lit(kind).alias("kind")) for k, (t, c, kind) in enumerate(places)]
+    return reduce(DataFrame.union, found).groupBy("id").agg(F.min_by("kind", "rank").alias("kind"))
 
 
 @over_tables
@@ -384,7 +386,7 @@ def mempool_dependencies(spark, sf_dir):
 def mempool_freshness(spark, sf_dir):
     m = P.stored(spark, sf_dir).table("blocks").filter("canonical")
     tip = m.agg(F.max("height").alias("h"), F.max_by("hash", "height").alias("x"))
-    one = m.filter("height >= 990").select("height", "hash", (F.col("height") % 3 > 0).alias("initialized"))
+    one = m.select("height", "hash", (F.col("height") % 3 > 0).alias("initialized"))
     joined = one.join(F.broadcast(tip), one.height <= tip.h)  # one row
     return joined.select("height", mempool.freshness(F.col("initialized"), F.col("height"), F.col("hash"), F.col("h"), F.col("x")).alias("state"))
 
