@@ -2,13 +2,15 @@
 
 import hashlib
 import itertools
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from ledgerloom.llm import chat, packing, sharding, toxicity
+from ledgerloom.llm import chat, jaccard_join, packing, sharding, toxicity
 from ledgerloom.llm.common import Scratch, WordHash, numbered, segments, spark_xxhash64
 from ledgerloom.llm.components import components
 from ledgerloom.llm.decontaminate import SeedTable, find_overlaps
@@ -117,23 +119,113 @@ def test_substring_dedup(docs, nothing):
     assert substring_dedup(nothing).count() == 0
 
 
+def near_copies(n=14):
+    """A text of 130 words, each time with another word changed; and copies of it that are too far from these."""
+    base = [f"v{k}" for k in range(130)]
+    near = [" ".join([*base[: 5 + 8 * k], "other", *base[6 + 8 * k :]]) for k in range(n)]
+    far = [" ".join(w if (i + k) % 6 else f"x{k}" for i, w in enumerate(base)) for k in range(4)]
+    return [(100 + k, t, "en", 1, "x", "y") for k, t in enumerate(near + far)]
+
+
+def shingle_set(text, n):
+    ws = (text or "").lower().split()
+    return {tuple(ws[a : a + n]) for a in range(len(ws) - n + 1)} if len(ws) >= n else ({tuple(ws)} if ws else set())
+
+
+def jaccard_links(sets, percent):
+    return [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+
+
 @pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
-def test_jaccard(docs, nothing, n, percent):
-    rows = corpus()
-    sets = {}
-    for i, t, *_ in rows:
-        ws = (t or "").lower().split()
-        sets.setdefault(i, {tuple(ws[a : a + n]) for a in range(len(ws) - n + 1)} if len(ws) >= n else ({tuple(ws)} if ws else set()))
-    ids = [i for i in sets if i is not None]
-    links = [(a, b) for a, b in itertools.combinations(ids, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
-    assert len(links) > 5
+def test_jaccard(spark, nothing, n, percent, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 4)  # so that the group takes several cells
+    # The last rows repeat an id with other texts: each row counts by its own.
+    rows = [*corpus(), *near_copies(), (101, "a text of its own", "en", 1, "x", "y"), (3, near_copies()[0][1], "en", 1, "x", "y")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    sets = [shingle_set(t, n) for _, t, *_ in rows]
+    named = [k for k, r in enumerate(rows) if r[0] is not None]
+    links = [(a, b) for a, b in jaccard_links(sets, percent) if a in named and b in named]
+    assert len(links) >= 50
     at = reach(links)
-    want = sorted((str(i), len(sets[i]), str(at.get(i, i) if i is not None else None)) for i, *_ in rows)
+    members = {}
+    for k in named:
+        members.setdefault(at.get(k, k), []).append(k)
+    smallest = {k: min(rows[j][0] for j in group) for group in members.values() for k in group}
+    want = sorted((str(r[0]), len(sets[k]), str(smallest.get(k))) for k, r in enumerate(rows))
     got = jaccard_components(docs, n, percent).collect()
     assert sorted((str(r.id), r.n_shingles, str(r.component_id)) for r in got) == want
-    assert jaccard_components(nothing).count() == 0
-    kept = sorted(str(r.doc_id) for r in one_of_each(docs, n, percent).collect())
-    assert kept == sorted(str(i) for i in sets if i is None or at.get(i, i) == i)
+    kept = one_of_each(docs, n, percent).collect()
+    assert sorted(str(r.doc_id) for r in kept) == sorted([str(min(rows[j][0] for j in group)) for group in members.values()] + ["None"])
+    assert len({(r.doc_id, r.text) for r in kept}) == len(kept)
+    assert jaccard_components(nothing).count() == one_of_each(nothing).count() == 0
+
+
+def test_product():
+    rnd = np.random.default_rng(4)
+    base = rnd.integers(0, 1 << 60, 300).astype(np.uint64)
+    sets = [np.unique(np.r_[base[rnd.random(300) < p], rnd.integers(0, 1 << 60, 5).astype(np.uint64)]) for p in rnd.choice([0.5, 0.9, 0.97, 0.99], 60)]
+    row = np.repeat(np.arange(60), [len(s) for s in sets])
+    side = np.where(np.arange(60) < 25, 1, 2)
+    for kind in (side, np.full(60, 3)):
+        i, j = jaccard_join.product(np.concatenate(sets), row, np.array([len(s) for s in sets]), kind, 85)
+        want = [(a, b) for a, b in itertools.combinations(range(60), 2) if kind[a] & 1 and kind[b] & 2 and 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))]
+        assert sorted(zip(i.tolist(), j.tolist())) == want and len(want) > 20
+
+
+def plain_kneser_ney(texts, order):
+    """The formulas on dictionaries of strings; returns the probability of a character after a context."""
+    counts = {order: Counter(p[k : k + order] for t in texts for p in ["\0" * (order - 1) + t] for k in range(len(t)))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    discounts, contexts = {}, {}
+    for k, c in counts.items():
+        n1, n2, n3, n4 = (sum(v == j for v in c.values()) for j in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
+        raw = (1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5)
+        discounts[k] = [min(max(d, 0.05), j) for d, j in zip(raw, (0.95, 1.95, 2.95))]
+        for g, v in c.items():
+            total, left = contexts.get(g[:-1], (0, 0.0))
+            contexts[g[:-1]] = total + v, left + discounts[k][min(v, 3) - 1]
+
+    def p(g):
+        lower = p(g[1:]) if len(g) > 1 else 1 / (len(counts[1]) + 1)
+        if g[:-1] not in contexts:
+            return lower
+        total, left = contexts[g[:-1]]
+        v = counts[len(g)].get(g, 0)
+        return (v - discounts[len(g)][min(v, 3) - 1] if v else 0) / total + left / total * lower
+
+    return p
+
+
+def test_kneser_ney_against_dictionaries(spark):
+    rnd = random.Random(9)
+    trusted = ["".join(rnd.choices("abcde fg", weights=[9, 7, 5, 3, 2, 6, 1, 1], k=rnd.randint(1, 90))) for _ in range(60)]
+    texts = [*trusted[:20], "zebra quiz", "aaaa", "b", None, "", "\U0001f600 ab"]
+    schema = "doc_id long, text string, lang string, trusted string"
+    rows = spark.createDataFrame([(k, t, "en", "x") for k, t in enumerate(trusted)], schema)
+    docs = spark.createDataFrame([(k, t, "en", "x") for k, t in enumerate(texts)], schema)
+    p, order, prior = plain_kneser_ney(trusted, 5), 5, 100
+
+    def spelled(t):  # what trusted texts lack is three symbols, none of them known
+        return "".join(c if any(c in x for x in trusted) else "\1\1\1" for c in t or "")
+
+    def surprise(t):
+        s = "\0" * (order - 1) + spelled(t)
+        return sum(-math.log2(p(s[k : k + order])) for k in range(len(s) - order + 1)), len(s) - order + 1
+
+    own = [surprise(t) for t in trusted]
+    mean = sum(b for b, _ in own) / sum(n for _, n in own)
+    want = [(b + prior * mean) / (n + prior) for b, n in map(surprise, texts)]
+    ranked = sorted(math.floor((b + prior * mean) / (n + prior) * 1000) for b, n in own)
+    limit = (ranked[math.ceil(0.9 * len(ranked)) - 1] + 1) / 1000 + 0.05
+    for shard_rows in (4_000_000, 150):  # one shard, and several
+        got = sorted(score_quality(docs, rows, quantile=0.9, prior=prior, shard_rows=shard_rows).collect(), key=lambda r: r.row.doc_id)
+        assert [r.row.text for r in got] == texts
+        assert np.allclose([r.bits for r in got], want, atol=1e-3)
+        assert all(abs(r.threshold - limit) < 0.002 for r in got)
+        assert [r.keep for r in got] == [r.bits <= r.threshold for r in got]
+        assert got[20].bits > max(r.bits for r in got[:20])
 
 
 def test_embeddings(spark):
@@ -264,6 +356,34 @@ def test_toxicity(spark):
     assert toxicity.train([], np.zeros(0, bool)).constant == 0.0
 
 
+def test_toxicity_odd_rows_and_inserted_letters(spark):
+    rnd = random.Random(7)
+    usual = "the river green stone walks morning light under bridge water garden window table summer people evening market".split()
+    insults = ["scoundrel", "nitwit", "buffoon", "dunce"]
+    texts = [" ".join(rnd.choices(usual, k=25)) + "." for _ in range(500)]
+    bad = [k for k in range(500) if k % 4 == 0]
+    for k in bad:
+        texts[k] = texts[k][:40] + f" {rnd.choice(insults)} " + texts[k][40:]
+    odd = [(900, None), (901, ""), (902, " \n"), (903, "De."), (904, "a b")]
+    docs = spark.createDataFrame([*enumerate(texts), *odd, (None, "a dunce"), (1, texts[1])], "doc_id long, text string").withColumnRenamed("doc_id", "score")
+    labels = spark.createDataFrame([(k, int(k in bad)) for k in range(500)] + [(k, k % 2) for k, _ in odd] + [(None, 1), (3, None)], "score long, toxic int")
+    model = toxicity.fit(docs, labels, id_col="score")
+    scores = {(r.row.score): r.score for r in toxicity.score_toxicity(docs, model).collect()}
+    assert all(0 <= s <= 1 for s in scores.values()) and all(scores[k] < 0.5 for k, _ in odd) and scores[None] >= 0.5
+    held = [k for k in range(500) if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert np.mean([(scores[k] >= 0.5) == (k in bad) for k in held]) > 0.97
+
+    def judged(words):
+        return np.array(model.probability([f"the river {w} walks" for w in words], toxicity.Sentences(model.landmarks))) >= 0.5
+
+    inserted = [[w[:a] + "x" + w[a:] for w in insults for a in range(2, len(w) - 1)], [w[:a] + "x" + w[a : a + 1] + "q" + w[a + 1 :] for w in insults for a in range(2, len(w) - 1)]]
+    assert judged(insults).all() and judged(["n-i-t-w-i-t", "d u n c e", "Buf.foon!"]).all()
+    assert judged(inserted[0]).mean() >= 0.9 and judged(inserted[1]).mean() >= 0.5
+    assert not judged([*usual, "scout", "once"]).any()
+    empty = docs.filter("false")
+    assert toxicity.score_toxicity(empty, toxicity.fit(empty, labels.filter("false"), id_col="score")).count() == 0
+
+
 def test_minimax(spark):
     rnd = random.Random(8)
     for trial in range(3):
