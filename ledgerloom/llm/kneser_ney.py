@@ -156,10 +156,10 @@ def kneser_ney(scratch: Scratch, top: DataFrame, order: int) -> DataFrame:
 
 
 class Lookup:
-    """Values of long keys, by open addressing in arrays that are three quarters full."""
+    """Values of long keys, by open addressing in arrays that are half full."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.size = max(16, 4 * len(keys) // 3)
+        self.size = max(16, 2 * len(keys))
         self.keys, self.values = np.full(self.size, -1, np.int64), np.zeros(self.size, np.float32)
         self.most = 0
         left = np.arange(len(keys))
