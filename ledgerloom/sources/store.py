@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import json
 import tempfile
+import time
 import uuid
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -101,12 +102,30 @@ class Store:
 
     def publish(self, tables: dict[str, DataFrame], **manifest) -> Version:
         """Replace the given tables (staged or not) and manifest fields; other tables stay those of the version before. The
-        manifest is last."""
+        manifest is last. Jobs of any kind that publish at once do so one after another, each on what the one before left."""
+        staged = {name: getattr(df, "_staged", None) or self.stage(name, df)._staged for name, df in tables.items()}
+        with self._alone("publish"):
+            return self._replaced(staged, manifest)
+
+    @contextmanager
+    def _alone(self, job: str, seconds: float = 120):
+        """``writing``, but waits for its turn."""
+        end = time.monotonic() + seconds
+        with ExitStack() as held:
+            while True:
+                try:
+                    held.enter_context(self.writing(job))
+                    break
+                except Busy:
+                    if time.monotonic() > end:
+                        raise
+                    time.sleep(0.1)
+            yield
+
+    def _replaced(self, staged: dict[str, str], manifest: dict) -> Version:
         old = self.current()
         generation = old.generation + 1
-        names = dict(old.manifest["tables"])
-        for name, df in tables.items():
-            names[name] = getattr(df, "_staged", None) or self.stage(name, df)._staged
+        names = {**old.manifest["tables"], **staged}
         new = {**old.manifest, **manifest, "generation": generation, "tables": names}
         self._write(f"manifest-{generation}.tmp", json.dumps(new))
         context = self._hadoop.fs.FileContext.getFileContext(self._p("x").toUri() if "://" in self.path else self._fs.getUri(), self.spark._jsc.hadoopConfiguration())

@@ -204,3 +204,20 @@ def test_deployments(spark, place):
     v = apply.replace_snapshot(store, {"deployments": stored.withColumn("since", F.lit(4).cast("long"))}, "deployment_snapshot", -1, None, count=1)
     with pytest.raises(IntegrityError, match="since column"):
         Explorer(v).deployments()
+
+
+def test_publishing_at_once_loses_nothing(spark, tmp_path):
+    """Two jobs with locks of their own publish to one manifest."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def job(name):
+        store = Store(spark, str(tmp_path / "store"))
+        for k in range(4):
+            with store.writing(name):
+                store.publish({f"{name}_table": spark.range(k + 1)}, **{f"{name}_round": k})
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(job, ["blocks", "snapshot"]))
+    version = Store(spark, str(tmp_path / "store")).current()
+    assert version.generation == 8 and (version.manifest["blocks_round"], version.manifest["snapshot_round"]) == (3, 3)
+    assert version.table("blocks_table").count() == version.table("snapshot_table").count() == 4
