@@ -45,7 +45,7 @@ def main(argv: list[str] | None = None) -> int:
     else:  # all derived tables follow from the bodies, whichever is asked for
         with store.writing():
             version = store.current()
-            tables = apply.derive(store, {n: version.table(n) for n in apply.BODIES}, schedule)
+            tables = apply.derive(store, {n: version.table(n) for n in apply.BODIES}, schedule, apply.stored_rollup(version))
             names = {"rebuild-accounting": "accounting", "rebuild-supply-rollup": "rollup", "rebuild-address-distribution": "distribution"}
             tip = version.manifest["indexed_block_hash"]
             store.publish({names[a.command]: tables[names[a.command]]}, rollup_anchor=tip, distribution_anchor=tip)

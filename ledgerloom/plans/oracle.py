@@ -84,6 +84,26 @@ SQL: dict[str, str] = {
     "tx_outputs_detail": sql(_S, f"SELECT o.txid, o.vout_index, o.value_satoshis AS value_sats, {shown('o.value_satoshis')} AS value_coins, o.script_hex AS script_pubkey_hex, o.address, s.spent, CASE WHEN s.spent THEN 'spent' WHEN NOT s.spent THEN 'unspent' ELSE 'not tracked' END AS spent_label FROM outputs o LEFT JOIN state s ON s.txid = o.txid AND s.vout_index = o.vout_index", STATE),
     "tx_inputs_witness": sql("inputs witness", "SELECT i.*, w.witness FROM inputs i LEFT JOIN (SELECT txid, vin_index, string_agg(concat(item_index, ':', length(data_hex) // 2, ':', data_hex), ',' ORDER BY item_index) AS witness FROM witness GROUP BY txid, vin_index) w ON w.txid = i.txid AND w.vin_index = i.vin_index"),
     "output_participants": sql("participants", "SELECT txid, vout_index, string_agg(address, ',' ORDER BY address) AS participants, count(*) AS n_participants FROM participants GROUP BY txid, vout_index"),
+    "transaction_detail": sql(
+        "blocks occurrences transactions variants inputs witness outputs participants",
+        f"""SELECT t.txid, t.wtxid, t.version, t.locktime, t.is_coinbase, v.size, v.vsize, v.weight, f.fee_satoshis AS fee_sats, CASE WHEN f.fee_satoshis IS NOT NULL THEN {shown('f.fee_satoshis')} END AS fee_coins, i.inputs, o.outputs, n.n_occurrences, n.canonical
+FROM transactions t JOIN variants v ON v.wtxid = t.wtxid LEFT JOIN fees f ON f.txid = t.txid
+JOIN (SELECT txid, count(*) AS n_occurrences, bool_or(canonical) AS canonical FROM occurrences GROUP BY txid) n ON n.txid = t.txid
+JOIN (SELECT i.txid, string_agg(concat(i.vin_index, ':', coalesce(i.prev_txid, '-'), ':', coalesce(CAST(i.prev_vout_index AS VARCHAR), '-'), ':', i.sequence, ':', coalesce(w.n, 0)), ',' ORDER BY i.vin_index) AS inputs
+  FROM inputs i LEFT JOIN (SELECT txid, vin_index, count(*) AS n FROM witness GROUP BY txid, vin_index) w ON w.txid = i.txid AND w.vin_index = i.vin_index GROUP BY i.txid) i ON i.txid = t.txid
+JOIN (SELECT o.txid, string_agg(concat(o.vout_index, ':', {shown('o.value_satoshis')}, ':', {_KIND}, ':', coalesce(CAST({_VERSION} AS VARCHAR), '-'), ':', CASE WHEN {_VERSION} IS NULL THEN '-' ELSE substr(script_hex, 5) END, ':', coalesce(o.address, '-'), ':', coalesce(p.n, 0), ':', coalesce(CAST(s.spent AS VARCHAR), '-')), ',' ORDER BY o.vout_index) AS outputs
+  FROM outputs o LEFT JOIN state s ON s.txid = o.txid AND s.vout_index = o.vout_index LEFT JOIN (SELECT txid, vout_index, count(*) AS n FROM participants GROUP BY txid, vout_index) p ON p.txid = o.txid AND p.vout_index = o.vout_index GROUP BY o.txid) o ON o.txid = t.txid""",
+        STATE, FEES,
+    ),
+    "genesis_rollup": sql(_A, "SELECT * FROM roll WHERE height = 0", FEES, ACC, EXC, ROLL),
+    "decoded_blocks": sql("blocks", "SELECT hash, height, prev_hash, merkle_root, time, bits, nonce, size, weight, tx_count FROM blocks"),
+    "decoded_transactions": sql("transactions", "SELECT txid, version, locktime, is_coinbase FROM transactions"),
+    "decoded_variants": sql("variants", "SELECT wtxid, txid, size, vsize, weight FROM variants"),
+    "decoded_occurrences": sql("occurrences", "SELECT block_hash, block_height, tx_index, txid, wtxid FROM occurrences"),
+    "decoded_inputs": sql("inputs", "SELECT txid, vin_index, prev_txid, prev_vout_index, coinbase_hex, CASE WHEN coinbase_hex IS NULL THEN script_sig_hex END AS script_sig_hex, sequence FROM inputs"),
+    "decoded_witness": sql("witness", "SELECT wtxid, txid, vin_index, item_index, data_hex FROM witness"),
+    "decoded_outputs": sql("outputs", f"SELECT txid, vout_index, value_satoshis, address, script_type, witness_version, script_hex, CASE WHEN witness_version IS NOT NULL THEN substr(script_hex, 5) END AS witness_program FROM (SELECT *, {_KIND} AS script_type, {_VERSION} AS witness_version FROM outputs) o"),
+    "decoded_participants": sql("participants", "SELECT txid, vout_index, address, pubkey_hex FROM participants"),
     "tx_occurrences": sql("occurrences", "SELECT txid, block_hash, block_height, tx_index, wtxid, canonical FROM occurrences"),
     "best_occurrence": sql("occurrences", "SELECT txid, block_hash, block_height, canonical, tx_index, wtxid FROM (SELECT *, row_number() OVER (PARTITION BY txid ORDER BY canonical DESC, block_height DESC, block_hash DESC) AS r FROM occurrences) x WHERE r = 1"),
     "address_history": sql(_S, "SELECT * FROM touch", CANON, TOUCH),

@@ -51,6 +51,7 @@ _PARTS = {
     "transactions": """SELECT {sha}(concat('c', height)) AS txid, CAST(1 AS BIGINT) AS version, CAST(0 AS BIGINT) AS locktime, true AS is_coinbase, {sha}(concat('c', height)) AS wtxid, height, 0 AS tx_index FROM heights
   UNION ALL SELECT txid, CAST(2 AS BIGINT), height, false, CASE WHEN o_orderkey % 2 = 0 THEN {sha}(concat('x', txid)) ELSE txid END, height, tx_index FROM order_tx
   UNION ALL SELECT s.txid, CAST(2 AS BIGINT), CAST(0 AS BIGINT), false, s.txid, s.height, CAST(coalesce(n.n, 0) + 1 AS INT) FROM sweep_tx s LEFT JOIN (SELECT height, count(*) AS n FROM order_tx GROUP BY height) n ON n.height = s.height""",
+    "variants": "SELECT wtxid, txid, 100 + height % 50 AS size, 80 + height % 50 AS vsize, 320 + 4 * (height % 50) AS weight FROM transactions",
     "witness": """SELECT {sha}(concat('x', txid)) AS wtxid, txid, 0 AS vin_index, 0 AS item_index, substr(txid, 1, 2 * CAST(1 + o_orderkey % 30 AS INT)) AS data_hex FROM order_tx WHERE o_orderkey % 2 = 0
   UNION ALL SELECT {sha}(concat('x', txid)), txid, 0, 1, '' FROM order_tx WHERE o_orderkey % 2 = 0""",
     "in_block": "SELECT height, count(*) AS n FROM transactions GROUP BY height",
@@ -96,6 +97,7 @@ class Ledger:
 
     blocks: DataFrame
     transactions: DataFrame
+    variants: DataFrame
     occurrences: DataFrame
     inputs: DataFrame
     witness: DataFrame

@@ -13,8 +13,9 @@ from ..functions.display import prevout_kind, spent_label, utc_time, yes_no
 from ..functions.money import format_amount, is_amount, parse_amount, whole_coins
 from ..functions.scripts import classify, is_unspendable, witness_metadata_ok
 from ..functions.subsidy import schedule_for
-from ..operators import accounting, addresses, chain, deployments, distribution, mempool, spend
+from ..operators import accounting, addresses, chain, deployments, distribution, mempool, spend, transactions
 from . import projection as P
+from .documents import decoded
 from .projection import Ledger, ledger
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,6 +110,69 @@ def output_participants(g):
     return g.participants.groupBy("txid", "vout_index").agg(people.alias("participants"), F.count("*").alias("n_participants"))
 
 
+@over_ledger
+def transaction_detail(g):
+    """Every transaction in full, its inputs and outputs as ordered texts."""
+    best = chain.best_occurrence(g.occurrences).select("txid", "wtxid")
+    fees = accounting.transaction_fees(g.transactions, g.inputs, g.outputs)
+    ins, outs = transactions.inputs_of(g.inputs, g.witness), transactions.outputs_of(g.outputs, g.participants, _state(g))
+    d = transactions.details(best, g.transactions, g.variants, fees, ins, outs, transactions.occurrences_of(g.occurrences))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    n = lambda c: F.greatest(F.size(F.coalesce(c, F.array())), F.lit(0))
+    one = lambda i: F.concat_ws(":", i["vin_index"], text(i["prev_txid"]), text(i["prev_vout_index"]), i["sequence"], n(i["witness"]["size_bytes"]))
+    other = lambda o: F.concat_ws(":", o["vout_index"], o["value_coins"], o["script_type"], text(o["witness_version"]), text(o["witness_program"]), text(o["address"]), n(o["participants"]), text(o["spent"]))
+    listed = [F.array_join(F.transform("inputs", one), ",").alias("inputs"), F.array_join(F.transform("outputs", other), ",").alias("outputs")]
+    places = [F.size("occurrences").alias("n_occurrences"), F.col("occurrences")[0]["canonical"].alias("canonical")]
+    return d.select("txid", "wtxid", "version", "locktime", "is_coinbase", "size", "vsize", "weight", "fee_sats", "fee_coins", *listed, *places)
+
+
+@over_ledger
+def genesis_rollup(g):
+    return accounting.genesis_rollup(g.blocks, _rollup(g))
+
+
+@over_tables
+def decoded_blocks(spark, sf_dir):
+    return decoded(spark, sf_dir).table("blocks").drop("difficulty")
+
+
+@over_tables
+def decoded_transactions(spark, sf_dir):
+    return decoded(spark, sf_dir).table("transactions")
+
+
+@over_tables
+def decoded_variants(spark, sf_dir):
+    return decoded(spark, sf_dir).table("variants")
+
+
+@over_tables
+def decoded_occurrences(spark, sf_dir):
+    return decoded(spark, sf_dir).table("occurrences")
+
+
+@over_tables
+def decoded_inputs(spark, sf_dir):
+    return decoded(spark, sf_dir).table("inputs")
+
+
+@over_tables
+def decoded_witness(spark, sf_dir):
+    return decoded(spark, sf_dir).table("witness")
+
+
+@over_tables
+def decoded_outputs(spark, sf_dir):
+    """Amounts, scripts and the owners that follow from them."""
+    hexed = [F.lower(F.hex(c)).alias(name) for c, name in (("script_pubkey", "script_hex"), ("witness_program", "witness_program"))]
+    return decoded(spark, sf_dir).table("outputs").select("txid", "vout_index", "value_satoshis", "address", "script_type", "witness_version", *hexed)
+
+
+@over_tables
+def decoded_participants(spark, sf_dir):
+    return decoded(spark, sf_dir).table("participants")
+
+
 @over_ledger
 def tx_occurrences(g):
     return g.occurrences.select("txid", "block_hash", "block_height", "tx_index", "wtxid", "canonical")

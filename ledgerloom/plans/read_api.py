@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import params
 from ..functions.money import format_amount
-from ..operators import accounting, addresses, chain, deployments, mempool, spend
+from ..operators import accounting, addresses, chain, deployments, mempool, spend, transactions
 from ..operators.rules import IntegrityError, assert_rules
-from ..sources.store import Version
+from ..sources.store import Version, require_coverage
 
 
 class NotFound(LookupError):
@@ -109,21 +109,15 @@ class Explorer:
         """By txid: the variant of the best occurrence. By wtxid: that variant."""
         occ = self._t("occurrences")
         occ = self._some(occ.filter(F.col("txid") == txid) if wtxid is None else occ.join(occ.filter(F.col("wtxid") == wtxid).select("txid").distinct(), "txid", "left_semi"), txid or wtxid)
-        best = chain.best_occurrence(occ).select("txid", F.lit(wtxid).alias("wtxid") if wtxid else "wtxid")
-        t = self._t("transactions").drop("wtxid", "height", "tx_index").join(F.broadcast(best), "txid")
+        best = F.broadcast(chain.best_occurrence(occ).select("txid", F.lit(wtxid).alias("wtxid") if wtxid else "wtxid"))
         key = F.broadcast(best.select("txid"))
-        places = occ.groupBy("txid").agg(F.reverse(F.array_sort(F.collect_list(F.struct("canonical", "block_height", "block_hash", "tx_index", "wtxid")))).alias("occurrences"))
-        inputs, outputs, owners = (self._t(n).join(key, "txid", "left_semi") for n in ("inputs", "outputs", "outputs"))
-        data = [F.col("data_hex")] if raw_witness else []
-        stacks = self._t("witness").join(F.broadcast(best), ["txid", "wtxid"], "left_semi").groupBy("txid", "vin_index").agg(F.array_sort(F.collect_list(F.struct("item_index", (F.length("data_hex") / 2).cast("int").alias("size_bytes"), *data))).alias("witness"))
-        ins = inputs.join(stacks, ["txid", "vin_index"], "left").groupBy("txid").agg(F.array_sort(F.collect_list(F.struct("vin_index", "coinbase_hex", "prev_txid", "prev_vout_index", "script_sig_hex", "sequence", "witness"))).alias("inputs"))
-        people = self._t("participants").join(key, "txid", "left_semi").groupBy("txid", "vout_index").agg(F.array_sort(F.collect_set("address")).alias("participants"))
-        detail = spend.tx_outputs_detail(outputs, owners.filter("address IS NOT NULL"), self._state()).join(people, ["txid", "vout_index"], "left")
-        value = F.col("value_satoshis")
-        outs = detail.groupBy("txid").agg(F.array_sort(F.collect_list(F.struct("vout_index", *both("value", value), F.lower(F.hex("script_pubkey")).alias("script_pubkey_hex"), "address", "participants", "spent"))).alias("outputs"))
-        fee = accounting.transaction_fees(t, inputs, self._t("outputs"))
-        out = t.join(fee, "txid", "left").join(ins, "txid").join(outs, "txid").join(places, "txid")
-        return out.select(*t.columns, F.col("fee_satoshis").alias("fee_sats"), format_amount(F.col("fee_satoshis")).alias("fee_coins"), "inputs", "outputs", "occurrences")
+        t, inputs, outputs, people = (self._t(n).join(key, "txid", "left_semi") for n in ("transactions", "inputs", "outputs", "participants"))
+        witness = self._t("witness").join(best, ["txid", "wtxid"], "left_semi")
+        variants = self._t("variants").join(best, ["txid", "wtxid"], "left_semi")
+        state = self._state().join(key, "txid", "left_semi")
+        fees = accounting.transaction_fees(t, inputs, self._t("outputs"), own=outputs)
+        ins, outs = transactions.inputs_of(inputs, witness, raw_witness), transactions.outputs_of(outputs, people, state)
+        return transactions.details(best, t, variants, fees, ins, outs, transactions.occurrences_of(occ))
 
     # ------------------------------------------------------------ addresses
 
@@ -151,8 +145,8 @@ class Explorer:
         last = min(((r.block_height, r.txid) for r in got), default=None)
         return Page(rows, last if len(got) == n else None)
 
-    def address_detail(self, address: str, n: int | None = None) -> tuple[DataFrame, Page]:
-        return self.address_summary(address), self.address_history(address, n)
+    def address_detail(self, address: str, n: int | None = None, before_height: int | None = None, before_txid: str | None = None) -> tuple[DataFrame, Page]:
+        return self.address_summary(address), self.address_history(address, n, before_height, before_txid)
 
     def overview(self, n: int | None = None) -> tuple[DataFrame, Page]:
         return self.status(), self.recent_blocks(n)
@@ -161,6 +155,8 @@ class Explorer:
         return self.status(), addresses.rich_list(self._addresses())
 
     def distribution(self) -> DataFrame:
+        """Refused unless it was derived at the indexed tip."""
+        require_coverage(self.version, "distribution_anchor")
         return self._t("distribution")
 
     # ------------------------------------------------------------ supply
@@ -168,6 +164,7 @@ class Explorer:
     def supply(self) -> DataFrame:
         """A point lookup by the tip's hash in the rollup, whose identities are checked again."""
         tip = self.version.manifest["indexed_block_hash"]
+        require_coverage(self.version, "rollup_anchor")
         row = self._t("rollup").filter(F.col("block_hash") == tip)
         if tip is None or not row.limit(1).count():
             raise Unavailable("no rollup row for the tip")

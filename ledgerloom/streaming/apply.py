@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from ..functions.display import genesis_hash
 from ..functions.subsidy import Schedule
 from ..operators import accounting, addresses, chain, distribution, spend
-from ..operators.rules import IntegrityError, assert_empty, assert_unique, insert_or_verify
+from ..operators.rules import IntegrityError, assert_empty, assert_unique, contradictions, insert_or_verify
 from ..sources.store import Store, Version
 
 BODIES = {
     "blocks": ["hash"],
     "transactions": ["txid"],
+    "variants": ["wtxid"],
     "occurrences": ["block_hash", "tx_index"],
     "inputs": ["txid", "vin_index"],
     "witness": ["wtxid", "vin_index", "item_index"],
@@ -33,9 +34,10 @@ class DeepReorg(RuntimeError):
     """No common ancestor within the allowed depth."""
 
 
-def derive(store: Store, bodies: dict[str, DataFrame], schedule: Schedule) -> dict[str, DataFrame]:
+def derive(store: Store, bodies: dict[str, DataFrame], schedule: Schedule, stored: DataFrame | None = None) -> dict[str, DataFrame]:
     """Everything that follows from bodies and the canonical set, behind the gates. Each table is staged once, and what
-    follows from it starts there."""
+    follows from it starts there. ``stored``: the rollup so far; a block's row depends on its ancestors alone, so that a
+    reorganisation changes none, and one that differs is refused. The rollup has rows for orphans too."""
     blocks, inputs, outputs = bodies["blocks"], bodies["inputs"], bodies["outputs"]
     occ = store.stage("occurrences", chain.occurrences(bodies["occurrences"], blocks))
     canon = spend.canonical_occurrences(occ)
@@ -46,8 +48,14 @@ def derive(store: Store, bodies: dict[str, DataFrame], schedule: Schedule) -> di
     agg = store.stage("addresses", addresses.address_aggregates(owners, state))
     acc = store.stage("accounting", accounting.block_accounting(blocks, occ, bodies["transactions"], inputs, outputs, schedule))
     acc_rows = accounting.checked_accounting(acc)
-    rollup = store.stage("rollup", accounting.supply_rollup(acc_rows, accounting.excluded_outputs(blocks, occ, outputs)))
+    excluded = store.stage("excluded", accounting.excluded_outputs(blocks, occ, outputs))
+    rollup = store.stage("rollup", accounting.supply_rollup(acc_rows, excluded))
     accounting.check_rollup(blocks, acc_rows, rollup, state)
+    if blocks.filter("NOT canonical").limit(1).count():
+        branches = accounting.branch_rollup(blocks, acc_rows, excluded, rollup, MAX_REORG)
+        rollup = store.stage("rollup", rollup.unionByName(branches))
+    if stored is not None:
+        assert_empty(contradictions(stored.select(*rollup.columns), rollup, ["block_hash"]), "rollup contradiction")
     return {"occurrences": occ, "utxo_state": state, "addresses": agg, "accounting": acc, "rollup": rollup, "distribution": distribution.checked_distribution(agg)}
 
 
@@ -56,10 +64,14 @@ def _tip(blocks: DataFrame) -> tuple[int, str | None]:
     return (-1, None) if r.h is None else (r.h, r.x)
 
 
-def _publish(store: Store, bodies: dict[str, DataFrame], schedule: Schedule) -> Version:
+def stored_rollup(version: Version) -> DataFrame | None:
+    return version.table("rollup") if version.has("rollup") else None
+
+
+def _publish(store: Store, bodies: dict[str, DataFrame], schedule: Schedule, version: Version) -> Version:
     bodies = {name: df if hasattr(df, "_staged") else store.stage(name, df) for name, df in bodies.items()}
     height, hash_ = _tip(bodies["blocks"])
-    tables = {**bodies, **derive(store, bodies, schedule)}
+    tables = {**bodies, **derive(store, bodies, schedule, stored_rollup(version))}
     return store.publish(tables, indexed_height=height, indexed_block_hash=hash_, rollup_anchor=hash_, distribution_anchor=hash_)
 
 
@@ -108,7 +120,7 @@ def apply_blocks(store: Store, batch: dict[str, DataFrame], schedule: Schedule,
                 old = chain.with_canonical(old, new, canonical=True)
                 fresh = fresh.withColumn("canonical", F.lit(True))
             bodies[name] = old.unionByName(fresh, allowMissingColumns=True)
-        return _publish(store, bodies, schedule)
+        return _publish(store, bodies, schedule, version)
 
 
 def rollback_to(store: Store, height: int, schedule: Schedule) -> Version:
@@ -119,7 +131,7 @@ def rollback_to(store: Store, height: int, schedule: Schedule) -> Version:
             raise DeepReorg(f"{version.manifest['indexed_height'] - height} blocks")
         bodies = {n: version.table(n) for n in BODIES}
         bodies["blocks"] = chain.with_canonical(bodies["blocks"], chain.orphaned_by(bodies["blocks"], height), canonical=False)
-        return _publish(store, bodies, schedule)
+        return _publish(store, bodies, schedule, version)
 
 
 def reconcile(store: Store, remote: DataFrame, schedule: Schedule) -> Version:
@@ -161,6 +173,7 @@ def from_decoded(bodies) -> dict[str, DataFrame]:
     return {
         "blocks": bodies.blocks,
         "transactions": bodies.transactions,
+        "variants": bodies.variants,
         "occurrences": bodies.occurrences,
         "inputs": bodies.inputs.select("txid", "vin_index", "prev_txid", "prev_vout_index", hexed("coinbase").alias("coinbase_hex"), hexed("script_sig").alias("script_sig_hex"), "sequence"),
         "witness": bodies.witness.select("wtxid", "txid", "vin_index", "item_index", hexed("data").alias("data_hex")),

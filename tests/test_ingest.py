@@ -12,7 +12,7 @@ from ledgerloom.operators.decode import decode_blocks
 from ledgerloom.operators.rules import IntegrityError
 from ledgerloom.plans.read_api import Explorer, NotFound, Unavailable, to_json
 from ledgerloom.sources.node import block_files, stream_block_files
-from ledgerloom.sources.store import Busy, Store
+from ledgerloom.sources.store import Busy, CoverageError, Store
 from ledgerloom.streaming import apply
 
 SCHEDULE = schedule_for("main")
@@ -82,7 +82,9 @@ def test_apply_replay_reorganise_and_read(spark, place):
     assert first == {"miner": (0, 2), "miner2": (5_000_000_000, 1), "alice": (2_500_000_000, 1), "bob": (6_500_000_000, 1)}
     e = Explorer(v)
     assert e.supply().first().utxo_set_value_coins == "140.00000000"
-    assert e.transaction(txid=h("t")).first().fee_coins == "10.00000000"
+    t = e.transaction(txid=h("t")).first()
+    assert t.fee_coins == "10.00000000" and (t.wtxid, t.size, t.vsize, t.weight) == (h("wt"), 200, 200, 800)
+    assert [(o.script_type, o.witness_version) for o in t.outputs] == [("p2pkh", None), ("p2pkh", None), ("nulldata", None)]
     assert [i.size_bytes for i in e.transaction(txid=h("t")).first().inputs[0].witness] == [20, 0]
     assert [o.spent for o in e.transaction(txid=h("t")).first().outputs] == [False, False, None]
     assert e.address_summary("nobody").first().balance_coins == "0.00000000"
@@ -108,12 +110,28 @@ def test_apply_replay_reorganise_and_read(spark, place):
     # The orphan is visible by hash, not by height.
     e = Explorer(v)
     assert not e.block(h("b2")).first().canonical and e.block(2).first().hash == h("b2x")
+    # The orphan keeps its rollup row, beside that of the block in its place.
+    assert {r.block_hash for r in v.table("rollup").collect()} == {h("b0"), h("b1"), h("b2"), h("b2x")}
+    assert e.block_rollup(h("b2")).drop("block_hash").collect() == e.block_rollup(h("b2x")).drop("block_hash").collect()
     # And back: the stored orphan becomes canonical again.
     apply.rollback_to(store, 1, SCHEDULE)
     v = apply.apply_blocks(store, decoded(spark, write(chain()[2:], "back")), SCHEDULE)
     assert balances(v) == first and v.manifest["indexed_block_hash"] == h("b2")
 
 
+def test_a_stored_rollup_is_not_rewritten(spark, place):
+    write, store = place
+    apply.apply_blocks(store, decoded(spark, write(chain()[:2])), SCHEDULE)
+    wrong = store.current().table("rollup").withColumn("cumulative_fee_satoshis", F.col("cumulative_fee_satoshis") + F.col("height"))
+    store.publish({"rollup": wrong})
+    with pytest.raises(IntegrityError, match="rollup contradiction"):
+        apply.apply_blocks(store, decoded(spark, write(chain()[2:], "next")), SCHEDULE)
+    store.publish({}, rollup_anchor=h("b0"), distribution_anchor=h("b0"))
+    for read in (Explorer(store.current()).supply, Explorer(store.current()).distribution):
+        with pytest.raises(CoverageError):
+            read()
+
+
 def test_refusals(spark, place):
     write, store = place
     apply.apply_blocks(store, decoded(spark, write(chain()[:2])), SCHEDULE)
