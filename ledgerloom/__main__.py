@@ -1,4 +1,4 @@
-"""``python -m ledgerloom``: check-rpc, version, index, rollback, and the three rebuilds."""
+"""``python -m ledgerloom``: check-rpc, version, index, follow, the two refreshes, rollback, and the three rebuilds."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="ledgerloom")
-    p.add_argument("command", choices=["check-rpc", "version", "index", "rollback", "rebuild-accounting", "rebuild-supply-rollup", "rebuild-address-distribution"])
+    p.add_argument("command", choices=["check-rpc", "version", "index", "follow", "refresh-mempool", "refresh-deployments", "rollback", "rebuild-accounting", "rebuild-supply-rollup", "rebuild-address-distribution"])
     p.add_argument("--store")
     p.add_argument("--blocks", help="folder of block documents")
     p.add_argument("--resolver", help="Parquet table pubkey_hex, address")
@@ -35,6 +35,14 @@ def main(argv: list[str] | None = None) -> int:
     store, schedule = Store(spark, a.store), schedule_for(a.network)
     if a.command == "version":
         print(json.dumps(store.current().manifest))
+    elif a.command in ("follow", "refresh-mempool", "refresh-deployments"):
+        from .streaming import follow
+
+        options = {"url": a.url, "user": a.user, "password": a.password}
+        if a.command == "follow":
+            follow.follow(store, options, schedule, a.network)
+        else:
+            (follow.refresh_mempool if a.command == "refresh-mempool" else follow.refresh_deployments)(store, options)
     elif a.command == "rollback":
         apply.rollback_to(store, a.height, schedule)
     elif a.command == "index":

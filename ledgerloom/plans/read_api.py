@@ -195,11 +195,20 @@ class Explorer:
         last = min(((r.entry_time, r.txid) for r in got), default=None)
         return Page(rows, (generation, *last) if len(got) == n else None)
 
-    def mempool_transaction(self, txid: str | None = None, wtxid: str | None = None) -> DataFrame:
+    def mempool_overview(self, n: int | None = None, cursor: tuple[int, int, str] | None = None) -> tuple[DataFrame, Page]:
+        return self.mempool_state(), self.mempool_page(n, cursor)
+
+    def mempool_transaction(self, txid: str | None = None, wtxid: str | None = None, raw_witness: bool = False) -> DataFrame:
+        """With inputs and outputs, where the snapshot has bodies; what spends them isn't known."""
         m = self._t("mempool")
         row = self._some(m.filter(F.col("txid") == txid) if wtxid is None else m.filter(F.col("wtxid") == wtxid), txid or wtxid)
         edges = self._t("depends").join(F.broadcast(row.select("txid")), "txid", "left_semi").groupBy("txid").agg(F.array_sort(F.collect_list("depends_on_txid")).alias("depends"))
-        return row.join(edges, "txid", "left")
+        out = row.join(edges, "txid", "left")
+        if not self.version.has("mempool_inputs"):
+            return out
+        key = F.broadcast(row.select("txid"))
+        inputs, witness, outputs, people = (self._t(f"mempool_{n}").join(key, "txid", "left_semi") for n in ("inputs", "witness", "outputs", "participants"))
+        return out.join(transactions.inputs_of(inputs, witness, raw_witness), "txid").join(transactions.outputs_of(outputs, people, None), "txid")
 
     def deployments(self) -> tuple[DataFrame, DataFrame]:
         state = self._snapshot_state("deployment_snapshot")
