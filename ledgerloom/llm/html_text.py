@@ -17,6 +17,10 @@ collapse except in pre and textarea; list items get ``- `` or their number, inde
 to their columns' widths and parted by `` | ``, spans taken into account; longer lines than ``MAX_PAD`` are wrapped within their
 column if cells follow, but not the rows of inner tables. No text is dropped.
 
+Tags end at the first ``>`` outside of quotes, or, if a quote never ends, at the first one; without any they are text. The time
+is linear in the source for any mix of open quotes, tags and comments; the output of deeply nested lists is not, as each
+level is indented.
+
 Defined results. Null: null. Empty or without visible text: empty. Not HTML: its text. Any nesting depth works: building and
 layout keep stacks of their own.
 """
@@ -25,6 +29,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -64,7 +69,10 @@ MAX_PAD = 40
 #: The most columns that a cell spans, as in browsers. A rowspan goes no further than the table has rows.
 MAX_COLSPAN = 1000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.DOTALL)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.DOTALL)
+_DECLARATION = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)", re.DOTALL)
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_QUOTE_OR_END = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
@@ -77,6 +85,27 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs or {}, []
 
 
+class TagEnds:
+    """For every place of a source, the first ``>`` behind it that is in no quotes, or -1: one pass from the back, made only
+    for sources with a quote that never ends, in which looking ahead from each tag would take quadratic time."""
+
+    def __init__(self, source: str):
+        self.at: list[int] = []
+        marks = [(m.start(), m[0]) for m in _QUOTE_OR_END.finditer(source)]
+        ends, after = [-1] * (len(marks) + 1), {'"': len(marks), "'": len(marks)}
+        for k in range(len(marks) - 1, -1, -1):
+            place, mark = marks[k]
+            if mark == ">":
+                ends[k] = place
+            else:
+                ends[k] = ends[min(after[mark] + 1, len(marks))]
+                after[mark] = k
+        self.at, self.ends = [place for place, _ in marks], ends
+
+    def behind(self, place: int) -> int:
+        return self.ends[bisect_left(self.at, place)]
+
+
 def attributes(source: str) -> dict[str, str]:
     out: dict[str, str] = {}
     for name, a, b, c in _ATTR.findall(source):
@@ -120,15 +149,18 @@ def parse(source: str) -> Node:
                 end_implied({"head"}, set())
             stack[-1].children.append(html.unescape(s) if "&" in s else s)
 
-    at, size = 0, len(source)
+    at, size, tag_ends = 0, len(source), None
+    last_end = source.rfind(">")  # what opens behind it is no tag
     while at < size:
         m = _TOKEN.search(source, at)
+        if m is not None and m[2] and m.start() > last_end:
+            m = _DECLARATION.search(source, m.start())
         if m is None:
             text(source[at:])
             break
         text(source[at : m.start()])
         at = m.end()
-        close, tag, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        close, tag = (m[1], m[2]) if m.re is _TOKEN else (None, None)
         if not tag:  # a comment or declaration
             if m[0].startswith("<![CDATA[") and foreign():
                 end = source.find("]]>", m.start() + 9)
@@ -136,6 +168,12 @@ def parse(source: str) -> Node:
                 stack[-1].children.append(source[m.start() + 9 : end])
                 at = end + 3
             continue
+        quoted = None if tag_ends else _REST.match(source, at)
+        if quoted is None:
+            tag_ends = tag_ends or TagEnds(source)
+        end = quoted.end() - 1 if quoted else tag_ends.behind(at)
+        end = source.find(">", at) if end < 0 else end
+        rest, at = source[at:end], end + 1
         tag = tag.lower()
         if close:
             if n_open.get(tag):
@@ -169,7 +207,7 @@ def parse(source: str) -> Node:
         if (outer or tag in ("svg", "math")) and rest.endswith("/"):
             continue
         if tag in RAW or tag in RCDATA:
-            end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.IGNORECASE).search(source, at)
+            end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.IGNORECASE).search(source, at) if at <= last_end else None
             inner = source[at : end.start() if end else size]
             if tag in RCDATA:
                 node.children.append(html.unescape(inner))

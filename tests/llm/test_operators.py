@@ -498,3 +498,32 @@ def test_chat_repeated_sentences(spark, monkeypatch):
         monkeypatch.setattr(chat, "HOT", hot)
         monkeypatch.setattr(chat, "CHUNK", chunk)
         assert parents(rows) == want
+
+
+def test_html_with_broken_tags_takes_linear_time():
+    import time
+
+    n = 100_000
+    sources = ['<b a="' * n, '<b "> x" ' * n, "<b" * n, "<b" * n + ">", "<script>" + "</script " * n, "<b a='\">" * n + "'", '<b a="' * n + "x>", "<!--" * n]
+    began = time.process_time()
+    for source in sources:
+        html_to_text(source)
+    assert time.process_time() - began < 30  # quadratic time would be hours
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ('<b a=">">x</b>', "x"),
+        ("<b a='\">y\">'>x</b>", "x"),
+        ('<b a=">x</b> y', "x y"),
+        ('a <b c="', 'a <b c="'),
+        ('a <b c=" <!-- d', 'a <b c="'),
+        ('<p>a</p><b "> x" ><i>z', "a z"),
+        ('<b "> x" <b "> x" <b', 'x" x" <b'),
+        ("<script>a</script b", ""),
+        ("a < b > c", "a < b > c"),
+    ],
+)
+def test_html_tag_ends(source, text):
+    assert " ".join(html_to_text(source).split()) == text
