@@ -122,7 +122,7 @@ def transaction_detail(g):
     one = lambda i: F.concat_ws(":", i["vin_index"], text(i["prev_txid"]), text(i["prev_vout_index"]), i["sequence"], n(i["witness"]["size_bytes"]))
     other = lambda o: F.concat_ws(":", o["vout_index"], o["value_coins"], o["script_type"], text(o["witness_version"]), text(o["witness_program"]), text(o["address"]), n(o["participants"]), text(o["spent"]))
     listed = [F.array_join(F.transform("inputs", one), ",").alias("inputs"), F.array_join(F.transform("outputs", other), ",").alias("outputs")]
-    places = [F.size("occurrences").alias("n_occurrences"), F.col("occurrences")[0]["canonical"].alias("canonical")]
+    places = [F.size("occurrences").cast("long").alias("n_occurrences"), F.col("occurrences")[0]["canonical"].alias("canonical")]
     return d.select("txid", "wtxid", "version", "locktime", "is_coinbase", "size", "vsize", "weight", "fee_sats", "fee_coins", *listed, *places)
 
 
