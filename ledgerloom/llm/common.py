@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +30,12 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """``batch`` in runs of rows with at most so many bytes in a text column, or of one row that has more."""
-    sizes = pc.binary_length(batch.column(column).cast(pa.binary())).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20, field: str | None = None) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows with at most so many bytes in a text column, or in a struct's text field, or of one row that
+    has more."""
+    texts = batch.column(column)
+    texts = texts if field is None else texts.field(texts.type.get_field_index(field))
+    sizes = pc.binary_length(texts.cast(pa.binary())).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)
     at = 0
     while at < len(sizes):
@@ -39,6 +44,29 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[
         at = to
 
 
+def trim() -> None:
+    """Give freed memory back to the system. Python workers live on between tasks and share their executor's memory, and the
+    C library keeps what large arrays leave behind."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def trimmed(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``rows``, whose task leaves no freed memory in its worker."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows(batches)
+        finally:
+            gc.collect()
+            trim()
+
+    return out
+
+
 # ---------------------------------------------------------------- shared storage
 
 
@@ -84,7 +112,6 @@ def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of finished jobs now, rather than when the driver next collects garbage.
 
     The first collection only queues what refers to them; they go with the second, in the background."""
-    import gc
     import time
 
     for _ in range(2):

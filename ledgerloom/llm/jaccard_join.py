@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, WordHash, bins_of, by_key, mix, pack, packed_rows, partitions, release, repeats, slices, spark_xxhash64, text_bytes, total_bytes, unpack, unused
+from .common import LOWER, Scratch, WordHash, bins_of, by_key, mix, pack, packed_rows, partitions, release, repeats, slices, spark_xxhash64, text_bytes, total_bytes, trim, trimmed, unpack, unused
 from .components import components
 
 BLOCK_WORDS = 750_000
@@ -98,6 +98,7 @@ def _incidence(n_words: int, n_bins: int, n_parts: int):
         doc, h, h2 = doc[o], h[o], h2[o]
         new = np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])][: len(h)]
         doc, h, h2 = doc[new], h[new], h2[new]
+        del o, new, w
         size = np.bincount(doc, minlength=len(ids))
         s1, s2 = np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.uint64)
         np.add.at(s1, doc, mix(h + np.uint64(1)))
@@ -111,6 +112,7 @@ def _incidence(n_words: int, n_bins: int, n_parts: int):
         stands &= size > 0
         keep = stands[doc]
         doc, h, h2 = doc[keep], h[keep], h2[keep]
+        del keep
         o = np.argsort(h, kind="stable")
         start = np.flatnonzero(np.r_[True, h[o][1:] != h[o][:-1]][: len(o)])
         n = np.diff(np.r_[start, len(o)])
@@ -128,7 +130,7 @@ def _incidence(n_words: int, n_bins: int, n_parts: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         ids, texts, size = [], [], 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             for i, data in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
                 ids.append(i)
                 texts.append((data or b"").translate(LOWER))
@@ -136,6 +138,7 @@ def _incidence(n_words: int, n_bins: int, n_parts: int):
                 if size >= 6 * BLOCK_WORDS:
                     yield block(np.array(ids, np.int64), *hashes(texts))
                     ids, texts, size = [], [], 0
+                    trim()
         if ids:
             yield block(np.array(ids, np.int64), *hashes(texts))
 
@@ -319,7 +322,7 @@ def _multiplied(scratch: Scratch, cells: DataFrame, members: DataFrame, alive: D
     same = cells.filter("x = y").select(key, F.struct(F.col("x").alias("block"), F.lit(3).alias("side")).alias("s"))
     rows = both.union(same).select("cell", "s.block", "s.side").join(members.select("id", "block"), "block").join(alive, "id")
     rows = rows.select("cell", "id", "n", "side", "columns")
-    return scratch.keep(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_products(percent), "a long, b long"))
+    return scratch.keep(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(trimmed(_products(percent)), "a long, b long"))
 
 
 def _in_blocks(docs: DataFrame) -> DataFrame:
@@ -331,7 +334,7 @@ def _in_blocks(docs: DataFrame) -> DataFrame:
 
 def linked_components(scratch: Scratch, alive: DataFrame, percent: int) -> DataFrame:
     """``alive``: id, n, columns (the shared columns' hashes, rarest first). (id, component) of all that have a link."""
-    signs = scratch.keep(alive.mapInArrow(_minhashes, "id long, n int, " + ", ".join(f"k{j} long" for j in range(len(SALTS)))))
+    signs = scratch.keep(alive.mapInArrow(trimmed(_minhashes), "id long, n int, " + ", ".join(f"k{j} long" for j in range(len(SALTS)))))
     keys = signs.select("id", "n", F.explode(F.array(*(f"k{j}" for j in range(len(SALTS))))).alias("kind"))
     common = keys.groupBy("kind").agg(F.count("*").alias("docs"))
     kinds = keys.join(common, "kind").groupBy("id").agg(F.max(F.struct("docs", "kind")).alias("best"), F.first("n").alias("n"))
@@ -348,7 +351,7 @@ def linked_components(scratch: Scratch, alive: DataFrame, percent: int) -> DataF
     known = known.join(largest.withColumnRenamed("component", "main"), "kind_0").withColumn("kind", F.xxhash64("kind_0", F.col("component") == F.col("main")))
     again = scratch.keep(_in_blocks(known.select("id", "n", "kind", "kind_0", "n_0", "component")))
     facts = again.groupBy("block").agg(F.first("kind_0").alias("kind"), F.first("n_0").alias("n_0"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
-    entries = alive.mapInArrow(_prefixes(percent), "h long, id long").join(again.select("id", "block"), "id").groupBy("h", "block").agg(F.count("*").alias("docs"))
+    entries = alive.mapInArrow(trimmed(_prefixes(percent)), "h long, id long").join(again.select("id", "block"), "id").groupBy("h", "block").agg(F.count("*").alias("docs"))
     entries = scratch.keep(entries.select("h", "block"))
     wide = entries.groupBy("h").agg(F.count("*").alias("blocks")).filter("blocks > 1").select("h")
     entries = entries.join(wide, "h")
@@ -367,13 +370,13 @@ def _components(texts: DataFrame, n_words: int, percent: int) -> DataFrame:
     spark = texts.sparkSession
     scratch = Scratch(spark)
     n_parts = n_bins = max(partitions(spark), -(-total_bytes(texts, "text") // BIN_BYTES))
-    entries = texts.mapInArrow(_incidence(n_words, n_bins, n_parts), PACKED)
+    entries = texts.mapInArrow(trimmed(_incidence(n_words, n_bins, n_parts)), PACKED)
     # Bins have keys from 0; what only passes through has the key -1 - part, and comes first.
     entries = entries.withColumn("key", F.when(F.col("kind") == 0, F.col("part")).otherwise(-1 - F.col("part")))
-    shared = scratch.keep(entries.repartition(n_bins, "key").sortWithinPartitions("key").mapInArrow(_columns(n_parts), PACKED))
+    shared = scratch.keep(entries.repartition(n_bins, "key").sortWithinPartitions("key").mapInArrow(trimmed(_columns(n_parts)), PACKED))
     del entries
     release(spark)
-    members = shared.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(_documents(percent), "id long, n int, s1 long, s2 long, columns binary")
+    members = shared.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(trimmed(_documents(percent)), "id long, n int, s1 long, s2 long, columns binary")
     members = scratch.keep(members)
     scratch.drop(shared)
     release(spark)
@@ -401,18 +404,25 @@ def jaccard_components(docs: DataFrame, n_words: int = 3, percent: int = 90, id_
         for c in ("class_id", "component_id"):
             result = result.join(result.filter(f"{c} IS NOT NULL").groupBy(c).agg(F.min("id").alias(f"{c}_")), c, "left")
         result = result.select("id", "n_shingles", F.col("class_id_").alias("class_id"), F.col("component_id_").alias("component_id"))
-    nameless = texts.filter("id IS NULL").select(F.lit(-1).cast("long").alias("id"), "text").mapInArrow(_incidence(n_words, 1, 1), PACKED)
-    sizes = nameless.filter("kind = 2").mapInArrow(_sizes, "id long, n_shingles long, class_id long, component_id long")
+    nameless = texts.filter("id IS NULL").select(F.lit(-1).cast("long").alias("id"), "text")
+    sizes = nameless.mapInArrow(trimmed(_sizes(n_words)), "id long, n_shingles long, class_id long, component_id long")
     return result.union(sizes)
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows without an id: their set sizes only."""
-    for batch in batches:
-        for data in batch.column("data").to_pylist():
-            n = unpack(data, "<u4", "<u8", "<u8")[1]
-            none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array(n.astype(np.int64)), none, none], names=["id", "n_shingles", "class_id", "component_id"])
+def _sizes(n_words: int):
+    """Rows without an id: their set sizes only. One function, as two in a row take a worker each."""
+    incidence = _incidence(n_words, 1, 1)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in incidence(batches):
+            for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist()):
+                if kind != 2:
+                    continue
+                n = unpack(data, "<u4", "<u8", "<u8")[1]
+                none = pa.nulls(len(n), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, pa.array(n.astype(np.int64)), none, none], names=["id", "n_shingles", "class_id", "component_id"])
+
+    return rows
 
 
 def one_of_each(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", most: int = 4_000_000) -> DataFrame:

@@ -527,3 +527,37 @@ def test_html_with_broken_tags_takes_linear_time():
 )
 def test_html_tag_ends(source, text):
     assert " ".join(html_to_text(source).split()) == text
+
+
+def test_rows_without_an_id_take_one_worker_a_task(spark):
+    """Two Python functions in a row hold two workers a task, which stay and share the executor's memory."""
+    rows = spark.createDataFrame([(1, "a b c d"), (None, "a b c d"), (None, ""), (None, "x")], "doc_id long, text string")
+    out = jaccard_components(rows)
+    assert sorted((r.id or 0, r.n_shingles) for r in out.collect()) == [(0, 0), (0, 1), (0, 2), (1, 2)]
+    assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("MapInArrow") == 1
+
+
+def test_tasks_give_freed_memory_back():
+    from ledgerloom.llm import common
+
+    def used():
+        with open("/proc/self/smaps_rollup") as f:
+            return next(int(x.split()[1]) for x in f if x.startswith("Pss_Anon")) // 1024
+
+    def rows(batches):
+        parts = [np.ones(8000) for _ in range(4000)]  # 244 MB in pieces that are not mapped each for itself
+        pins.append(parts[-1])
+        yield from batches
+
+    pins, before = [], used()
+    assert list(common.trimmed(rows)(iter([1, 2]))) == [1, 2]
+    assert used() - before < 60
+
+
+def test_slices_by_a_text_within_a_struct():
+    import pyarrow as pa
+
+    from ledgerloom.llm.common import slices
+
+    row = pa.array([{"id": k, "text": t} for k, t in enumerate(["a" * 9, None, "b" * 2, "c" * 30, "d"])])
+    assert [len(b) for b in slices(pa.record_batch([row], names=["row"]), "row", 10, "text")] == [2, 1, 1, 1]
