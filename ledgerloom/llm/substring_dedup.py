@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Interned, Scratch, bins_of, by_key, mix, packed_rows, partitions, release, spark_xxhash64, text_bytes, total_bytes, unpack, words
+from .common import Interned, Scratch, bins_of, by_key, mix, packed_rows, partitions, release, slices, spark_xxhash64, text_bytes, total_bytes, trim, trimmed, unpack, words
 
 BASES = (np.uint64(0x9E6C63D0876A9A35), np.uint64(0xD1B54A32D192ED03))  # odd: so they have inverses modulo 2**64
 BLOCK_WORDS = 1_000_000
@@ -99,7 +99,7 @@ def _window_rows(window: int, n_bins: int, n_parts: int):
             out += [(1, p, data) for p, data in packed_rows(np.mod(spark_xxhash64(d), n_parts).astype(np.int32), d, h)]
             return _rows_batch(out)
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             for i, data in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
                 ws = words(data)
                 if i is None or len(ws) < window:
@@ -111,6 +111,7 @@ def _window_rows(window: int, n_bins: int, n_parts: int):
                 if size >= BLOCK_WORDS:
                     yield flush()
                     ids, lengths, held, size = [], [], [], 0
+                    trim()
         if held:
             yield flush()
 
@@ -145,7 +146,7 @@ def _cut(window: int, text_col: str, id_col: str):
         windows = Windows(window)
         part, ids, hashes = None, np.zeros(0, np.int64), np.zeros(0, np.uint64)
         held: list[list[np.ndarray]] = []
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "row", field=text_col)):
             row = batch.column("row")
             at_id, at_text = row.type.get_field_index(id_col), row.type.get_field_index(text_col)
             texts = text_bytes(row.field(at_text))
@@ -197,9 +198,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_bins = max(partitions(spark), -(-size // (5 * BIN_WORDS)))
     keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     packed = "kind int, part int, data binary"
-    entries = keyed.mapInArrow(_window_rows(window, n_bins, n_parts), packed)
+    entries = keyed.mapInArrow(trimmed(_window_rows(window, n_bins, n_parts)), packed)
     bins = entries.repartition(n_bins, "part", "kind").sortWithinPartitions(F.col("kind").desc(), "part")
-    repeats = scratch.keep(bins.mapInArrow(_both(n_parts), packed))
+    repeats = scratch.keep(bins.mapInArrow(trimmed(_both(n_parts)), packed))
     del entries, bins
     release(spark)
     nothing = F.lit(None)
@@ -208,7 +209,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hits = repeats.select("kind", "part", "data", nothing.cast(rows.schema["row"].dataType).alias("row"))
     both = rows.union(hits).repartition(n_parts, "part").sortWithinPartitions("part", "kind")
     schema = T.StructType([*both.select("row").schema, *T._parse_datatype_string("n_words long, n_removed long, kept_text string, spans array<struct<start:int,end:int>>")])
-    return both.mapInArrow(_cut(window, text_col, id_col), schema)
+    return both.mapInArrow(trimmed(_cut(window, text_col, id_col)), schema)
 
 
 def _both(n_parts: int):
