@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.money import format_amount
 from ..functions.scripts import classify
-from . import spend
 
 KEY = ["txid", "vout_index"]
 
@@ -35,7 +34,7 @@ def outputs_of(outputs: DataFrame, participants: DataFrame, state: DataFrame | N
     """txid, outputs. Without a state (unconfirmed) nothing is said about spending."""
     people = participants.groupBy(*KEY).agg(F.array_sort(F.collect_set("address")).alias("participants"))
     owned = classified(outputs)
-    rows = owned.withColumn("spent", F.lit(None).cast("boolean")) if state is None else spend.tx_outputs_detail(owned, outputs.filter("address IS NOT NULL"), state)
+    rows = owned.withColumn("spent", F.lit(None).cast("boolean")) if state is None else owned.join(state.select(*KEY, "spent"), KEY, "left")
     value = F.col("value_satoshis")
     hexed = lambda c: F.lower(F.hex(c))
     fields = (

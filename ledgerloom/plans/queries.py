@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,8 +14,10 @@ from ..functions.display import prevout_kind, spent_label, utc_time, yes_no
 from ..functions.money import format_amount, is_amount, parse_amount, whole_coins
 from ..functions.scripts import classify, is_unspendable, witness_metadata_ok
 from ..functions.subsidy import schedule_for
-from ..operators import accounting, addresses, chain, deployments, distribution, mempool, spend, transactions
+from ..operators import accounting, addresses, chain, deployments, distribution, mempool, spend
+from ..sources.store import Store, shared_dir
 from . import projection as P
+from .details import detail_rows
 from .documents import decoded
 from .projection import Ledger, ledger
 
@@ -113,17 +116,15 @@ def output_participants(g):
 @over_ledger
 def transaction_detail(g):
     """Every transaction in full, its inputs and outputs as ordered texts."""
-    best = chain.best_occurrence(g.occurrences).select("txid", "wtxid")
-    fees = accounting.transaction_fees(g.transactions, g.inputs, g.outputs)
-    ins, outs = transactions.inputs_of(g.inputs, g.witness), transactions.outputs_of(g.outputs, g.participants, _state(g))
-    d = transactions.details(best, g.transactions, g.variants, fees, ins, outs, transactions.occurrences_of(g.occurrences))
     text = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
     n = lambda c: F.greatest(F.size(F.coalesce(c, F.array())), F.lit(0))
     one = lambda i: F.concat_ws(":", i["vin_index"], text(i["prev_txid"]), text(i["prev_vout_index"]), i["sequence"], n(i["witness"]["size_bytes"]))
     other = lambda o: F.concat_ws(":", o["vout_index"], o["value_coins"], o["script_type"], text(o["witness_version"]), text(o["witness_program"]), text(o["address"]), n(o["participants"]), text(o["spent"]))
     listed = [F.array_join(F.transform("inputs", one), ",").alias("inputs"), F.array_join(F.transform("outputs", other), ",").alias("outputs")]
     places = [F.size("occurrences").cast("long").alias("n_occurrences"), F.col("occurrences")[0]["canonical"].alias("canonical")]
-    return d.select("txid", "wtxid", "version", "locktime", "is_coinbase", "size", "vsize", "weight", "fee_sats", "fee_coins", *listed, *places)
+    columns = ["txid", "wtxid", "version", "locktime", "is_coinbase", "size", "vsize", "weight", "fee_sats", "fee_coins", *listed, *places]
+    spark = g.blocks.sparkSession
+    return detail_rows(g, Store(spark, f"{shared_dir(spark)}/details-{uuid.uuid4().hex}"), lambda d: d.select(*columns))
 
 
 @over_ledger

@@ -110,3 +110,18 @@ def test_repeats_of_transactions(spark):
     each = spark.createDataFrame(rows, "hash string, height long, tx_index int, t struct<txid:string,hash:string>")
     got = {r.hash: (sorted(r.again_hash), sorted(r.again_txid)) for r in repeats(each).collect()}
     assert got == {"h2": ([], [3]), "h3": ([1, 4], [1, 4])}
+
+
+def test_details_in_slices(spark, sf, tmp_path, monkeypatch):
+    """The same rows, whatever the number of slices: spends and values come from other slices."""
+    from ledgerloom.plans import details, documents
+    from ledgerloom.plans.projection import ledger
+    from ledgerloom.sources.store import Store
+
+    monkeypatch.setattr(documents, "SLICE", 4_000)
+    columns = lambda d: d.select("txid", "fee_sats", F.to_json("inputs").alias("i"), F.to_json("outputs").alias("o"), F.to_json("occurrences").alias("at"))
+    sliced = details.detail_rows(ledger(spark, sf), Store(spark, str(tmp_path / "a")), columns)
+    assert not [p for d in ("spends", "values") for p in tmp_path.glob(f"*/*/{d}")]
+    monkeypatch.setattr(documents, "SLICE", 10**9)
+    whole = details.detail_rows(ledger(spark, sf), Store(spark, str(tmp_path / "b")), columns)
+    assert sorted(sliced.collect()) == sorted(whole.collect())
